@@ -118,15 +118,19 @@ def suffix_array(a: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.nda
     return order, rank
 
 
-def common_prefixes(a: np.ndarray, order: np.ndarray, first: np.ndarray, sizes: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """Kasai's common prefix of each suffix with the one before it in order, up to depth.
+def common_prefixes(a: np.ndarray, order: np.ndarray, rank: np.ndarray, first: np.ndarray, sizes: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+    """Kasai's common prefix of each suffix of an ordered selection with the one before it, up to depth.
 
-    A suffix's prefix is at most one shorter than that of the suffix before it in the text; the segments of a
-    (beginning at first) are walked side by side, so each step is one of arrays.
+    A suffix's prefix is at most one shorter than that of the suffix before it in the text, if the latter's neighbour
+    moves on to a suffix of the selection too and the two differ within depth; else it is counted anew. Equal ranks
+    are equal prefixes of depth bytes. The segments of a (beginning at first, sizes suffixes each) are walked side by
+    side, so each step is one of arrays.
     """
     n = len(a)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n + 1, -1, np.int64)
     before[order[1:]] = order[:-1]
+    chosen = np.zeros(n + 1, bool)
+    chosen[order] = True
     padded = np.concatenate([a, np.zeros(depth, np.uint8)])
     out = np.zeros(n, np.int64)
     length = np.zeros(len(first), np.int64)
@@ -135,8 +139,9 @@ def common_prefixes(a: np.ndarray, order: np.ndarray, first: np.ndarray, sizes:
         live = live[: np.searchsorted(-sizes[live], -step)]
         place = first[live] + step
         other = before[place]
-        run = np.where(other >= 0, np.maximum(length[live] - 1, 0), depth)
-        todo = np.flatnonzero(run < depth)
+        tied = (other >= 0) & (rank[place] == rank[other])
+        run = np.where(tied, depth, np.maximum(length[live] - 1, 0))
+        todo = np.flatnonzero(~tied & (other >= 0))
         while len(todo):
             # eight bytes at a time, then the place of the first difference
             x, y = place[todo] + run[todo], other[todo] + run[todo]
@@ -149,8 +154,8 @@ def common_prefixes(a: np.ndarray, order: np.ndarray, first: np.ndarray, sizes:
             run[todo] = np.minimum(run[todo] + got, depth)
             todo = todo[(got == 8) & (run[todo] < depth)]
         run[other < 0] = 0
-        length[live] = run
         out[place] = run
+        length[live] = np.where((run < depth) & (other >= 0) & chosen[other + 1], run, 0)
     return out
 
 
@@ -159,13 +164,13 @@ def repeated_windows(pieces: list[bytes], windows: list[int], length: int = LENG
     sizes = np.array([len(p) for p in pieces])
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     a = np.frombuffer(b"".join(pieces), np.uint8)
-    order, _ = suffix_array(a, length)
+    order, rank = suffix_array(a, length)
     # suffixes that don't start a window have no part in it: the rest are neighbours in order
     starts = np.zeros(len(a), bool)
     for f, w in zip(first, windows):
         starts[f : f + w] = True
     own = order[starts[order]]
-    lcp = common_prefixes(a, own, first, np.array(windows), length)
+    lcp = common_prefixes(a, own, rank, first, np.array(windows), length)
     again = lcp >= length
     again[own[:-1]] |= lcp[own[1:]] >= length
     return [again[f : f + w] for f, w in zip(first, windows)]
