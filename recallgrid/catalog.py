@@ -310,11 +310,11 @@ def context_features(spark, d):
 
 _EDGE = """e as (select from_id, to_id, n, n / (n + 1)::double as weight from (select from_id, to_id, count(*) as n from (
 select lag(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as from_id, l_partkey as to_id from lineitem) where from_id is not null and from_id <> to_id group by 1, 2))"""
-_STRONG = _EDGE + ", s as (select * from e where weight >= 0.6)"
+_STRONG = _EDGE + ", s as (select * from e where weight >= 0.5)"
 
 
 def _strong(spark, d) -> DataFrame:
-    return graph.usable_edges(T.associations(spark, d), least=0.6)
+    return graph.usable_edges(T.associations(spark, d), least=0.5)
 
 
 def _starts(spark, *ids: int) -> DataFrame:
@@ -538,7 +538,7 @@ def _queries(spark, d) -> DataFrame:
     )
 
 
-@query("""with q as (select doc_id, octet_length(coalesce(text, '')::blob) as z, doc_id % 5 = 0 as e, doc_id % 11 = 0 as a, doc_id % 7 = 0 as s, doc_id % 13 = 0 as t, case when doc_id % 3 = 0 then 0.95 else 0.1 end as w from documents),
+@query("""with q as (select doc_id, octet_length(encode(coalesce(text, ''))) as z, doc_id % 5 = 0 as e, doc_id % 11 = 0 as a, doc_id % 7 = 0 as s, doc_id % 13 = 0 as t, case when doc_id % 3 = 0 then 0.95 else 0.1 end as w from documents),
 r as (select *, (a or s) and not t as assoc from q)
 select doc_id as query_id, case when z > 0 and z < 100 and w >= 0.9 and not e and not a then 'exact' when (e or z > 20) and w < 0.9 and not a and not assoc then 'similarity' when assoc then 'association' when t then 'temporal' else 'all' end as route from r""")
 def query_routes(spark, d):

@@ -167,7 +167,7 @@ def next_occurrence(now_us: Column, average_us: Column, position: Column, length
 def co_access(hits: DataFrame, window: int = 10) -> DataFrame:
     """Counts of (earlier, later) memories among each query's hits and the last ``window`` ones before it. hits: pool, seq, memory_id."""
     w = Window.partitionBy("pool").orderBy("seq").rowsBetween(-window, -1)
-    pairs = hits.select("pool", F.explode(F.collect_list("memory_id").over(w)).alias("a"), F.col("memory_id").alias("b")).where("a <> b")
+    pairs = hits.withColumn("before", F.collect_list("memory_id").over(w)).select("pool", F.explode("before").alias("a"), F.col("memory_id").alias("b")).where("a <> b")
     return pairs.groupBy("pool", "a", "b").agg(F.count("*").alias("n"))
 
 
