@@ -181,6 +181,11 @@ def _with_sets(docs: DataFrame, rule: Rule, members: DataFrame) -> DataFrame:
     return kept.dropDuplicates(["set_id"]).join(members.select("set_id"), "set_id", "left_semi")
 
 
+def _cell(region: int, pivot: int) -> int:
+    """A cell's number, from its region's and its pivot's."""
+    return int.from_bytes(hashlib.blake2b(b"%d %d" % (region, pivot), digest_size=8).digest(), "little", signed=True)
+
+
 def _pivot_level(large: DataFrame, rule: Rule, level: int) -> tuple[DataFrame, DataFrame]:
     """Links to pivots, and the cells with the members that still need a join."""
     spark = large.sparkSession
@@ -216,8 +221,7 @@ def _pivot_level(large: DataFrame, rule: Rule, level: int) -> tuple[DataFrame, D
                 best = int(np.argmin(d))
                 for i, (k, _) in enumerate(own):
                     if link[i] or i == best or d[i] <= d[best] + 2 * slack:
-                        # a cell's number is its pivot's place under the region's
-                        rows[0].append(region * 64 + k + 1), rows[1].append(sid), rows[2].append(n), rows[3].append(raw)
+                        rows[0].append(_cell(region, pivots[k][1])), rows[1].append(sid), rows[2].append(n), rows[3].append(raw)
                         rows[4].append(pivots[k][1] if link[i] else None), rows[5].append(i != best)
             yield pa.record_batch({
                 "region": pa.array(rows[0], pa.int64()), "set_id": pa.array(rows[1], pa.int64()), "n": pa.array(rows[2], pa.int64()),

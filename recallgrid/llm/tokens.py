@@ -156,10 +156,11 @@ def limit_totals(sums: DataFrame, limits: list[int]) -> DataFrame:
     spark = sums.sparkSession
     asked = spark.createDataFrame([(int(x),) for x in limits], "context_limit long")
     at = sums.join(F.broadcast(asked), sums.n_tokens >= asked.context_limit)
-    return at.groupBy("context_limit").agg(
-        F.max("docs_at_least").alias("docs_at_least"),
-        F.max(F.col("total_tokens") - F.col("tokens_at_least") + F.col("context_limit") * F.col("docs_at_least")).alias("truncated_total"),
-    )
+    cutoff = F.col("total_tokens") - F.col("tokens_at_least") + F.col("context_limit") * F.col("docs_at_least")
+    found = at.groupBy("context_limit").agg(F.max("docs_at_least").alias("docs_at_least"), F.min(cutoff).alias("truncated_total"))
+    total = sums.agg(F.max("total_tokens").alias("total"))
+    out = asked.join(found, "context_limit", "left").join(F.broadcast(total), F.lit(True))
+    return out.select("context_limit", F.coalesce("docs_at_least", F.lit(0)).alias("docs_at_least"), F.coalesce("truncated_total", "total", F.lit(0)).alias("truncated_total"))
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
