@@ -6,8 +6,10 @@ regions comes from a lossless split of the shingle universe, and pivots work whe
 
 1. Equal sets become one. Sizes are split into classes such that linked sets lie in one class or in neighbours. For a
    class whose smaller linked set has at most r shingles, linked sets differ in at most r / 9 shingles (at 0.9), so of
-   that many parts of the hashed universe plus two, at least two are equal in both. Sets that have equal parts
-   (empty ones count only where a set has several of them) lie in one region; regions are connected components.
+   that many parts of the hashed universe plus two, at least two are equal in both (empty ones count only where a set
+   has several of them). Sets with an equal part are compared by their counts in ``BUCKETS`` hash buckets: the sum of
+   the smaller counts is at least the intersection, so the distance that it gives is at most the true one, and a pair
+   that it keeps apart can't link. What it connects lies in one region; regions are connected components.
 2. Within a region, pivots: a pivot's distances to all members are computed exactly; members within the threshold
    link to it. A member needs no more checks when no member of another component lies in its windows, that is within
    the threshold of its distance to every pivot so far (triangle inequality). Otherwise it becomes a pivot itself.
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, lower_ascii, mix, release, shingles, utf8, word_hashes
+from .common import components, cut, discard, lower_ascii, mix, release, shingles, utf8, word_hashes
 
 #: Shingles (8 bytes each) of a region that one task joins.
 REGION_TOKENS = 6_000_000
@@ -39,6 +41,10 @@ REGION_TOKENS = 6_000_000
 PIVOTS, PIVOT_TOKENS, LEVELS = 32, 2_000_000, 4
 #: More parts than differences, so that a part that is empty by chance isn't needed.
 SPARE = 2
+#: Buckets of a set's counts.
+BUCKETS = 128
+#: Distinct groups of sets with an equal part whose signatures are sent to all executors (8 bytes each); more are joined by a shuffle.
+SENT_GROUPS = 1_000_000
 
 
 class Rule:
@@ -90,15 +96,16 @@ def _set_id(s: np.ndarray) -> int:
 
 
 def describe(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles, set_id (null for an empty set) and signatures of every row."""
+    """doc_id, n_shingles, set_id (null for an empty set), signatures and bucket counts of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
-                n, ids, sigs = [], [], []
+                n, ids, sigs, counts = [], [], [], []
                 for t in utf8(piece):
                     s = shingle_set(t, rule.words)
+                    counts.append(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BUCKETS).astype("<u4").tobytes())
                     n.append(len(s))
                     ids.append(_set_id(s) if len(s) else None)
                     sigs.append(rule.signatures(s).view(np.int64) if len(s) else np.zeros(0, np.int64))
@@ -106,10 +113,52 @@ def describe(docs: DataFrame, rule: Rule) -> DataFrame:
                 yield pa.record_batch({
                     "doc_id": piece.column(0), "n_shingles": pa.array(n, pa.int64()), "set_id": pa.array(ids, pa.int64()),
                     "sigs": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sigs), pa.int64())),
+                    "counts": pa.array(counts, pa.binary()),
                 })
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, n_shingles long, set_id long, sigs array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, n_shingles long, set_id long, sigs array<long>, counts binary")
+
+
+def _close(rule: Rule) -> Callable:
+    """From rows (sig, set_id, n, counts) in order of sig: a star (a, b) over what the counts connect in each group."""
+
+    def group(ids: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int]]:
+        comp = np.arange(len(ids))
+        for p in range(len(ids)):
+            near = np.flatnonzero((comp != comp[p]) & (rule.den * np.minimum(sizes, sizes[p]) >= rule.num * np.maximum(sizes, sizes[p])))
+            for at in range(0, len(near), 8192):
+                part = near[at : at + 8192]
+                both = np.minimum(counts[part], counts[p]).sum(1, dtype=np.int64)
+                for i in part[rule.linked(both, sizes[part], sizes[p])]:
+                    if comp[i] != comp[p]:
+                        yield int(ids[p]), int(ids[i])
+                        a, b = sorted((comp[i], comp[p]))
+                        comp[comp == b] = a
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def edges(t: pa.Table) -> pa.RecordBatch:
+            sig, ids, sizes = (t.column(i).to_numpy() for i in range(3))
+            counts = np.frombuffer(b"".join(t.column(3).to_pylist()), "<u4").reshape(len(sig), BUCKETS)
+            first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+            out = [e for a, b in zip(first, np.append(first[1:], len(sig))) if b - a > 1 for e in group(ids[a:b], sizes[a:b], counts[a:b])]
+            return pa.record_batch({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            sig = t.column(0).to_numpy()
+            if len(sig):
+                last = int(np.searchsorted(sig, sig[-1]))  # the last group may go on in the next batch
+                if last:
+                    yield edges(t.slice(0, last))
+                rest = t.slice(last)
+        if rest is not None and rest.num_rows:
+            yield edges(rest)
+
+    return run
 
 
 def overlaps(tokens: np.ndarray, first: np.ndarray, pivot: np.ndarray) -> np.ndarray:
@@ -272,14 +321,24 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, words: in
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), component_size for every row."""
     spark = docs.sparkSession
     rule = Rule(num, den, words)
-    base = cut(describe(docs, rule), "described")
+    described = cut(describe(docs, rule), "described")
+    base = cut(described.select("doc_id", "n_shingles", "set_id"), "rows")
     # one row for each different set; copies are combined before the shuffle
     reps = cut(base.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "sets")
-    rows = base.where("set_id is not null").select("doc_id", "set_id", "sigs").join(reps, ["doc_id", "set_id"], "left_semi").dropDuplicates(["set_id"])
-    rows = cut(rows.select("set_id", F.explode("sigs").alias("sig")), "signatures")
-    # signatures that several sets have, and a star from the smallest of them
-    shared = rows.groupBy("sig").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).where("a < z").select("sig", "a")
-    star = rows.join(shared, "sig").where("set_id <> a").select("a", F.col("set_id").alias("b")).distinct()
+    own = described.where("set_id is not null").join(reps, ["doc_id", "set_id"], "left_semi").dropDuplicates(["doc_id", "set_id"])
+    own = cut(own.select("set_id", F.col("n_shingles").alias("n"), "sigs", "counts"), "signatures")
+    release(spark)
+    discard(described)
+    # signatures that several sets have; those with the same sets need one look only
+    rows = own.select("set_id", F.explode("sigs").alias("sig"))
+    shared = rows.groupBy("sig").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z"), F.count("*").alias("c"), F.sum(F.xxhash64("set_id").cast("decimal(20,0)")).alias("h"))
+    groups = cut(shared.where("a < z").groupBy("a", "z", "c", "h").agg(F.min("sig").alias("sig")).select("sig"), "groups")
+    release(spark)
+    few = groups.count() <= SENT_GROUPS
+    close = rows.join(F.broadcast(groups) if few else groups, "sig").join(own.select("set_id", "n", "counts"), "set_id")
+    close = close.select("sig", "set_id", "n", "counts").repartition("sig").sortWithinPartitions("sig")
+    star = cut(close.mapInArrow(_close(rule), "a long, b long").distinct(), "close")
+    release(spark)
     regions = cut(components(star), "regions")
     release(spark)
     members = regions.select(F.col("node").alias("set_id"), F.col("component").alias("region")).join(reps, "set_id")
