@@ -6,8 +6,8 @@ regions comes from a lossless split of the shingle universe, and pivots work whe
 
 1. Equal sets become one. Sizes are split into classes such that linked sets lie in one class or in neighbours. For a
    class whose smaller linked set has at most r shingles, linked sets differ in at most r / 9 shingles (at 0.9), so of
-   that many parts of the hashed universe plus two, at least two are equal in both (empty ones count only where a set
-   has several of them). Sets with an equal part are compared by their counts in ``BUCKETS`` hash buckets: the sum of
+   that many parts of the hashed universe and some spare ones, as many are equal in both as are spare. The spare ones
+   are more than the parts that are empty by chance, so empty parts count only where a set has that many of them. Sets with an equal part are compared by their counts in ``BUCKETS`` hash buckets: the sum of
    the smaller counts is at least the intersection, so the distance that it gives is at most the true one, and a pair
    that it keeps apart can't link. What it connects lies in one region; regions are connected components.
 2. Within a region, pivots: a pivot's distances to all members are computed exactly; members within the threshold
@@ -25,6 +25,7 @@ rows without a doc_id link as others do but give no component its number.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,10 +40,10 @@ from .common import components, cut, discard, lower_ascii, mix, release, shingle
 REGION_TOKENS = 6_000_000
 #: Pivots sent out for a large region at each level, their shingles at most, and levels.
 PIVOTS, PIVOT_TOKENS, LEVELS = 32, 2_000_000, 4
-#: More parts than differences, so that a part that is empty by chance isn't needed.
+#: More parts than differences, so that parts that are empty by chance aren't needed: this many, and a share of all.
 SPARE = 2
-#: Buckets of a set's counts.
-BUCKETS = 128
+#: Buckets of a set's counts: at least and at most, for about four shingles in each.
+BUCKETS, MOST_BUCKETS = 128, 8192
 #: Distinct groups of sets with an equal part whose signatures are sent to all executors (8 bytes each); more are joined by a shuffle.
 SENT_GROUPS = 1_000_000
 
@@ -64,23 +65,31 @@ class Rule:
     def size_class(self, n: int) -> int:
         return int(np.searchsorted(self.lows, n, "right")) - 1
 
-    def parts(self, c: int) -> int:
-        """Parts for pairs whose larger set is in class c, so whose smaller one is at most the class's high."""
-        high = self.lows[c + 1] - 1
-        return (self.den - self.num) * high // self.num + SPARE
+    def parts(self, c: int) -> tuple[int, int]:
+        """Parts for pairs whose larger set is in class c, so whose smaller one is at most the class's high, and how many of them are spare.
+
+        The smaller set may lie in the class before; the spare parts are 1.5 times the empty ones to be expected of a
+        set at the class's low, and two.
+        """
+        differ = (self.den - self.num) * (self.lows[c + 1] - 1) // self.num
+        spare = SPARE
+        for _ in range(12):
+            spare = SPARE + int(1.5 * (differ + spare) * math.exp(-self.lows[c] / (differ + spare)))
+            spare = min(spare, SPARE + differ // 2)
+        return differ + spare, spare
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         """Part hashes of a sorted set for its own class and the next."""
         c, out = self.size_class(len(s)), []
         for k in (c, c + 1):
-            m = self.parts(k)
+            m, spare = self.parts(k)
             part = (mix(s + np.uint64(0x51ED27)) % np.uint64(m)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             place = part[order]
             first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
             own = mix(np.add.reduceat(mix(s[order]), first))
             which = place[first]
-            if m - len(first) >= SPARE:  # so many empty parts that the equal ones may all be empty
+            if m - len(first) >= spare:  # so many empty parts that the equal ones may all be empty
                 empty = np.setdiff1d(np.arange(m), which)
                 which, own = np.concatenate([which, empty]), np.concatenate([own, np.zeros(len(empty), np.uint64)])
             out.append(mix(own + mix(which.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(k))))
@@ -91,6 +100,14 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(shingles(word_hashes(lower_ascii(text))[0], words))
 
 
+def bucket_counts(s: np.ndarray) -> bytes:
+    """Members of a set by the first bits of their hash; adjacent buckets of more bits add up to those of fewer."""
+    b = BUCKETS
+    while b < MOST_BUCKETS and 4 * b < len(s):
+        b *= 2
+    return np.bincount((s >> np.uint64(65 - b.bit_length())).astype(np.int64), minlength=b).astype("<u2").tobytes()
+
+
 def _set_id(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -105,7 +122,7 @@ def describe(docs: DataFrame, rule: Rule) -> DataFrame:
                 n, ids, sigs, counts = [], [], [], []
                 for t in utf8(piece):
                     s = shingle_set(t, rule.words)
-                    counts.append(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BUCKETS).astype("<u4").tobytes())
+                    counts.append(bucket_counts(s))
                     n.append(len(s))
                     ids.append(_set_id(s) if len(s) else None)
                     sigs.append(rule.signatures(s).view(np.int64) if len(s) else np.zeros(0, np.int64))
@@ -141,9 +158,14 @@ def _close(rule: Rule) -> Callable:
 
         def edges(t: pa.Table) -> pa.RecordBatch:
             sig, ids, sizes = (t.column(i).to_numpy() for i in range(3))
-            counts = np.frombuffer(b"".join(t.column(3).to_pylist()), "<u4").reshape(len(sig), BUCKETS)
+            raw = t.column(3).to_pylist()
             first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-            out = [e for a, b in zip(first, np.append(first[1:], len(sig))) if b - a > 1 for e in group(ids[a:b], sizes[a:b], counts[a:b])]
+            out = []
+            for a, b in zip(first, np.append(first[1:], len(sig))):
+                if b - a > 1:
+                    wide = min(map(len, raw[a:b])) // 2
+                    counts = np.array([np.frombuffer(x, "<u2").reshape(wide, -1).sum(1, dtype=np.uint32) for x in raw[a:b]])
+                    out += group(ids[a:b], sizes[a:b], counts)
             return pa.record_batch({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
         for batch in batches:
