@@ -353,8 +353,8 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, words: in
     discard(described)
     # signatures that several sets have; those with the same sets need one look only
     rows = own.select("set_id", F.explode("sigs").alias("sig"))
-    shared = rows.groupBy("sig").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z"), F.count("*").alias("c"), F.sum(F.xxhash64("set_id").cast("decimal(20,0)")).alias("h"))
-    groups = cut(shared.where("a < z").groupBy("a", "z", "c", "h").agg(F.min("sig").alias("sig")).select("sig"), "groups")
+    shared = rows.groupBy("sig").agg(F.count("*").cast("int").alias("c"), F.bit_xor(F.xxhash64("set_id")).alias("h")).where("c > 1")
+    groups = cut(shared.groupBy("c", "h").agg(F.min("sig").alias("sig")).select("sig"), "groups")
     release(spark)
     few = groups.count() <= SENT_GROUPS
     close = rows.join(F.broadcast(groups) if few else groups, "sig").join(own.select("set_id", "n", "counts"), "set_id")
