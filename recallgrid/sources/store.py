@@ -13,7 +13,8 @@ LOG_SCHEMA = "seq long, entry_type string, memory_id long, connection_id string,
 
 def read_log(spark: SparkSession, path: str, schema: str = LOG_SCHEMA) -> tuple[DataFrame, DataFrame]:
     """Good rows, and the lines that could not be read."""
-    rows = spark.read.schema(schema + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    parsed = F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = spark.read.text(path).where("trim(value) <> ''").select(parsed.alias("r")).select("r.*")
     return rows.where("_bad is null").drop("_bad"), rows.where("_bad is not null").select("_bad")
 
 
