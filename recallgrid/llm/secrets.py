@@ -9,16 +9,18 @@ Null and empty texts have no spans. Spans are code points, end exclusive, of who
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings
+from .common import cut, discard, strings
 
 #: Labelled strings for each kind, and background tokens, that the automata are fitted on.
 MAX_TRAIN = 600
@@ -168,33 +170,45 @@ class Background:
         return sum(math.log2((self.pairs[a, b] + 0.5) / (self.firsts[a] + 0.5 * k) / CLASS_SIZE.get(b, 1)) for a, b in zip(seq, seq[1:])) / max(1, len(s))
 
 
-def labelled(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Strings that the base patterns label with their kind, and other long tokens labelled as background, each once."""
+def labelled(docs: DataFrame, text: str = "text", most: int = MAX_TRAIN) -> DataFrame:
+    """Strings that the base patterns label with their kind, and other long tokens labelled as background.
+
+    A task keeps the ``most`` different ones with the least hashes for each label; those with the least of all are
+    among them, whatever the partitions are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = defaultdict(set)
+
+        def keep(kind: str, s: str) -> None:
+            own = found[kind]
+            own.add((xxhash.xxh64_intdigest(s[:512].encode()) - (1 << 63), s[:512]))
+            if len(own) > 8 * most:
+                found[kind] = set(heapq.nsmallest(most, own))
+
         for batch in batches:
-            found = defaultdict(set)
             for t in strings(batch, text):
                 spans = base_spans(t)
                 for a, k, b in spans:
-                    s = ASSIGN.match(t, a)[2] if k == 0 else t[a:b]
-                    found[KINDS[k]].add(s[:512])
+                    keep(KINDS[k], ASSIGN.match(t, a)[2] if k == 0 else t[a:b])
                 for m in CANDIDATE.finditer(t):
                     if not any(a < m.end() and m.start() < b for a, _, b in spans):
-                        found["other"].add(m[0][:512])
-            rows = [(k, s) for k, x in found.items() for s in x]
-            yield pa.record_batch({"kind": pa.array([r[0] for r in rows], pa.string()), "s": pa.array([r[1] for r in rows], pa.string())})
+                        keep("other", m[0])
+        rows = [(k, *x) for k, own in found.items() for x in heapq.nsmallest(most, own)]
+        yield pa.record_batch({"kind": pa.array([r[0] for r in rows], pa.string()), "h": pa.array([r[1] for r in rows], pa.int64()), "s": pa.array([r[2] for r in rows], pa.string())})
 
-    return docs.select(text).mapInArrow(run, "kind string, s string")
+    return docs.select(text).mapInArrow(run, "kind string, h long, s string")
 
 
 def fit(docs: DataFrame, text: str = "text", most: int = MAX_TRAIN) -> dict:
-    """An automaton for each kind and the background, from at most ``most`` labelled strings of each, taken by hash."""
-    rows = labelled(docs, text)
+    """An automaton for each kind and the background, from at most ``most`` labelled strings of each, taken by hash.
+
+    The texts are read once; what their tasks keep is written, and its least strings are taken from there.
+    """
     kinds = [*KINDS[:3], "other"]
-    # a bounded number of strings for each label, the same ones whatever the partitions
-    took = rows.withColumn("h", F.xxhash64("s")).distinct()
-    samples = _least(took, kinds, most)
+    rows = cut(labelled(docs, text, most), "labelled")
+    samples = _least(rows.distinct(), kinds, most)
+    discard(rows)
     return {"automata": [Automaton(samples[k]) for k in kinds[:3] if len(samples[k]) >= 10], "background": Background(samples["other"])}
 
 
