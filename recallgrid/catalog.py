@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recallgrid import tables as T
@@ -615,3 +615,136 @@ def streamed_transitions(spark, d):
     a = stream.where("user_id is not null").select(F.col("user_id").alias("pool"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000).alias("seq"), ids[F.col("event_type")].cast("long").alias("memory_id"), F.col("ts").cast("timestamp").alias("ts"))
     learn.run_to(learn.steps(a), f"{home}/steps", f"{home}/state")
     return spark.read.schema(learn.STEP).parquet(f"{home}/steps").groupBy("pool", "from_id", "to_id").agg(F.count("*").alias("n"))
+
+
+# --- maintenance of edges, entries and patterns --------------------------------------------------------------------
+
+_NODES = "(select p_partkey from part where p_partkey % 10 <> 0)"
+
+
+def _tenths(spark, d) -> DataFrame:
+    return T.read(spark, d, "part").where("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("id"))
+
+
+@query(f"with {_EDGE} select from_id, to_id from e where from_id not in {_NODES} or to_id not in {_NODES}")
+def violating_edges(spark, d):
+    """Edges with an end that isn't stored: parts whose number is divisible by ten are left out."""
+    return graph.violations(T.associations(spark, d), _tenths(spark, d)).select("from_id", "to_id")
+
+
+@query(f"with {_EDGE} select from_id, to_id, round(weight, 6) as weight from e where from_id in {_NODES} and to_id in {_NODES} and from_id <> 0 and to_id <> 0")
+def valid_edges(spark, d):
+    return graph.valid_edges(T.associations(spark, d), _tenths(spark, d)).select("from_id", "to_id", F.round("weight", 6).alias("weight"))
+
+
+@query(f"with {_EDGE} select from_id, to_id from e where from_id % 7 <> 0 and to_id % 7 <> 0")
+def edges_after_removal(spark, d):
+    """Edges that stay when every seventh part goes."""
+    parts = T.read(spark, d, "part").select(F.col("p_partkey").alias("id"))
+    ends = T.associations(spark, d).select(F.explode(F.array("from_id", "to_id")).alias("id")).where("id % 7 = 0").distinct()
+    return graph.drop_nodes(parts, T.associations(spark, d), ends)[1].select("from_id", "to_id")
+
+
+@query(f"""with {_STRONG}, r as (select to_id as node, 1 - weight as cost, 1 as depth from s where from_id = 7
+union all select s.to_id, p.cost + 1 - s.weight, 2 from (select to_id as node, 1 - weight as cost from s where from_id = 7) p join s on s.from_id = p.node
+union all select t.to_id, p.cost + 1 - s.weight + 1 - t.weight, 3 from (select to_id as node, 1 - weight as cost from s where from_id = 7) p join s on s.from_id = p.node join s t on t.from_id = s.to_id),
+b as (select node, round(min(cost), 6) as cost, min(depth) as depth from r where node <> 7 group by 1)
+select * from (select node, cost, depth, row_number() over (order by cost, node) as rank from b) where rank <= 30""")
+def cheapest_paths(spark, d):
+    """The 30 nodes with the cheapest paths of up to three edges; an edge costs 1 - weight."""
+    out = graph.best_first(_strong(spark, d), _starts(spark, 7), 3, 30, cost=True, cut=written)
+    return out.select("node", F.col("value").alias("cost"), "depth", "rank")
+
+
+@query("select c_custkey as memory_id, c_nationkey as connection_id from customer where c_nationkey not in (select n_nationkey from nation where n_regionkey = 1)")
+def open_connections(spark, d):
+    """Customers whose nation's connection isn't closed."""
+    closed = T.read(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("connection_id"))
+    rows = T.read(spark, d, "customer").select(F.col("c_custkey").alias("memory_id"), F.col("c_nationkey").alias("connection_id"))
+    return store.cleanup_connection(rows, closed).select("memory_id", "connection_id")
+
+
+@query("""select user_id as key, event_id, value from (select *, row_number() over (partition by user_id order by event_type = 'purchase' desc, event_id desc) as r
+from events where event_type in ('view', 'purchase')) where r = 1""")
+def upserted_entries(spark, d):
+    """Purchases as changes over views: the last writer of each key."""
+    e = T.read(spark, d, "events").select(F.col("user_id").alias("key"), "event_id", "value", "event_type")
+    rows = [e.where(F.col("event_type") == t).drop("event_type") for t in ("view", "purchase")]
+    return store.upsert(rows[0], rows[1], "key", "event_id").select("key", "event_id", "value")
+
+
+@query("""select c_custkey as memory_id, coalesce(n, 0) as access_count, epoch_us(t) as last_us from customer
+left join (select user_id, count(*) as n, max(ts) as t from events group by 1) on user_id = c_custkey""")
+def touched_entries(spark, d):
+    """Access counts and times from the log."""
+    m = T.read(spark, d, "customer").select(F.col("c_custkey").alias("memory_id"), F.lit(0).cast("long").alias("access_count"), F.lit(None).cast("timestamp").alias("last_accessed"))
+    log = T.read(spark, d, "events").select(F.col("user_id").alias("memory_id"), F.col("ts").cast("timestamp").alias("ts"))
+    return retrieval.touch(m, log).select("memory_id", "access_count", F.unix_micros("last_accessed").alias("last_us"))
+
+
+@query("""select p_partkey as id, p_size + coalesce(n, 0) as activation_count, greatest(coalesce(s, 0), 0) as last_used_step from part
+left join (select l_partkey, count(*) as n, max(l_orderkey) as s from lineitem group by 1) on l_partkey = p_partkey""")
+def activated_patterns(spark, d):
+    """Parts as patterns, each line of an order an activation."""
+    p = T.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("activation_count"), F.lit(0).cast("long").alias("last_used_step"))
+    seen = T.read(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.lit(1).alias("delta"), F.col("l_orderkey").alias("step"))
+    return retrieval.pattern_touch(p, seen).select("id", "activation_count", "last_used_step")
+
+
+# --- scores, keys and windows --------------------------------------------------------------------------------------
+
+
+@query(f"with {_EDGE} select from_id, to_id, round(weight - 0.1::double * n / 24, 6) as score from e")
+def edge_retention(spark, d):
+    """Retention of edges, with the count of uses as their age in hours."""
+    return T.associations(spark, d).select("from_id", "to_id", F.round(scores.edge_retention(F.col("weight"), F.col("n")), 6).alias("score"))
+
+
+@query("""select user_id, round(case when s > 0.5 then 0.7::double * s + 0.3::double * (1 - least(v / 1000, 1)) else 0 end, 6) as score from (
+select user_id, avg(case when event_type <> 'error' then 1.0::double else 0 end) as s, avg(value) as v from events group by 1)""")
+def health_scores(spark, d):
+    """Each user's share of successes and mean value as milliseconds."""
+    u = T.read(spark, d, "events").groupBy("user_id").agg(F.avg((F.col("event_type") != "error").cast("double")).alias("s"), F.avg("value").alias("v"))
+    return u.select("user_id", F.round(scores.health_score(F.col("s"), F.col("v"), F.col("s") > 0.5), 6).alias("score"))
+
+
+@query("""select event_id, round(least(exp(-0.5::double * pow((value - 50) / 20, 2)) / (20 * sqrt(2 * pi())), 1), 6) as normal, round(least(exp(-value / 50) / 50, 1), 6) as exponential,
+round(least(value / 625 * exp(-value / 25), 1), 6) as gamma, round(least(2 * value / 2500 * exp(-pow(value / 50, 2)), 1), 6) as weibull from events where value is not null""")
+def interval_probabilities(spark, d):
+    """The four interval models with mean 50 and variance 400."""
+    e = T.read(spark, d, "events").where("value is not null")
+    kinds = ("normal", "exponential", "gamma", "weibull")
+    return e.select("event_id", *[F.round(scores.interval_probability(F.col("value"), F.lit(50.0), F.lit(400.0), k), 6).alias(k) for k in kinds])
+
+
+@query("select doc_id, substr(sha256(doc_id::varchar), 1, 16) as blob_key, sha256(coalesce(text, '')) as content_key from documents")
+def content_keys(spark, d):
+    """Keys of stored blobs and of contents."""
+    docs = T.read(spark, d, "documents")
+    return docs.select("doc_id", F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 16).alias("blob_key"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_key"))
+
+
+@query("""select conv_id, 'Relevant past memories (newest first):' || chr(10) || string_agg('- ' || text, chr(10) order by turn desc, text) as block
+from (select *, row_number() over (partition by conv_id order by turn desc, text) as r from conversations where text is not null) where r <= 10 group by 1""")
+def context_blocks(spark, d):
+    """A conversation's ten newest turns as one block."""
+    newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"), "text")
+    c = T.read(spark, d, "conversations").where("text is not null").withColumn("r", F.row_number().over(newest)).where("r <= 10")
+    c = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("r", "text"))).alias("t"))
+    return c.select("conv_id", text.context_block(F.col("t.text")).alias("block"))
+
+
+@query(f"with {_ACC} select epoch_us(time_bucket(interval 5 minute, make_timestamp(ts_us))) as start_us, pool, memory_id, count(*) as n from a group by all")
+def windowed_counts(spark, d):
+    """The streaming counts by five-minute windows, over the whole log."""
+    out = learn.windowed_counts(T.accesses(spark, d))
+    return out.select(F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), "pool", "memory_id", "n")
+
+
+@query(f"""with {_ACC}, g as (select *, case when ts_us - lag(ts_us) over (partition by pool order by seq) <= 1800000000 then 0 else 1 end as b from a),
+x as (select *, sum(b) over (partition by pool order by seq) as k from g)
+select pool, min(ts_us) as start_us, max(ts_us) + 1800000000 as end_us, count(*) as n from x group by pool, k""")
+def access_sessions(spark, d):
+    """Sessions of each pool's accesses, apart by more than 30 minutes."""
+    out = learn.sessions(T.accesses(spark, d))
+    return out.select("pool", *[F.unix_micros(F.col(c).cast("timestamp")).alias(f"{c}_us") for c in ("start", "end")], "n")

@@ -139,11 +139,11 @@ def components(nodes: DataFrame, edges: DataFrame, cut, rounds: int = 50) -> Dat
 
 
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with both ends stored, ids that are not 0, a weight in [0, 1]; one for each id."""
+    """Edges with both ends stored, ids that are not 0, a weight in [0, 1]; one for each id where edges have ids."""
     ok = edges.where("from_id <> 0 and to_id <> 0 and weight between 0 and 1")
     for end in ("from_id", "to_id"):
         ok = ok.join(nodes.select(F.col("id").alias(end)), end, "left_semi")
-    return ok
+    return ok.dropDuplicates(["id"]) if "id" in ok.columns else ok
 
 
 def violations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
