@@ -26,6 +26,12 @@ def confidence(cos: Column) -> Column:
     return (cos + 1) / 2
 
 
+def rounded(x: Column, places: int = 6) -> Column:
+    """The scaled double rounded half away from zero: half of a value of six decimals is a tie, which F.round breaks by its shortest decimal form."""
+    scale = float(10**places)
+    return F.round(x * scale, 0) / scale
+
+
 def normalised(v: Column) -> Column:
     """v over its norm; a zero vector stays as it is."""
     n = norm(v)

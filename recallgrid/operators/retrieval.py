@@ -33,7 +33,7 @@ def similarity_topk(store: DataFrame, query: list[float], k: int = 10, key: str
     q = F.array(*[F.lit(float(x)) for x in query])
     cos = F.round(vectors.cosine(F.col(vector), q), 6)
     top = store.select(key, cos.alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
-    return top.select(key, "similarity", F.round(vectors.confidence(F.col("similarity")), 6).alias("confidence"), F.row_number().over(Window.orderBy(F.desc("similarity"), key)).alias("rank"))
+    return top.select(key, "similarity", vectors.rounded(vectors.confidence(F.col("similarity"))).alias("confidence"), F.row_number().over(Window.orderBy(F.desc("similarity"), key)).alias("rank"))
 
 
 def _blocks(queries: DataFrame, query_key: str, vector: str) -> Iterator[tuple[list, np.ndarray]]:
@@ -90,7 +90,7 @@ def similarity_batch(store: DataFrame, queries: DataFrame, k: int = 10, least: f
     if out is None:
         return queries.select(F.col(query_key)).limit(0).select(query_key, F.lit(0).cast("long").alias(key), F.lit(0.0).alias("similarity"), F.lit(0.0).alias("confidence"), F.lit(0).alias("rank"))
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("similarity"), key))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("confidence", F.round(vectors.confidence(F.col("similarity")), 6))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("confidence", vectors.rounded(vectors.confidence(F.col("similarity"))))
 
 
 def has_confident_match(results: DataFrame, threshold: float = 0.7, query_key: str = "query_id") -> DataFrame:
