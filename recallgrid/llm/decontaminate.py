@@ -3,7 +3,7 @@
 Document frequencies of hashed words are counted over all documents. The benchmark items' TF-IDF rows are factored by
 a distributed randomised SVD (Halko, Martinsson and Tropp 2011); every half-overlapping passage of every document is
 projected onto its right singular vectors, and its cosine with each item, over the passage's whole TF-IDF norm, makes
-candidates. The rank is the number of items up to ``RANK``, so with fewer items the projection loses nothing of them.
+candidates. A benchmark with more than ``RANK`` segments is searched in parts, so the projection loses nothing of them.
 Candidates are verified on words: the longest common subsequence must hold ``EXACT`` of the item's words, or
 ``PARAPHRASE`` of them together with the item's answer, its last sentence.
 
@@ -31,8 +31,6 @@ POWER_STEPS = 2
 COSINE = 0.3
 EXACT = 0.8
 PARAPHRASE = 0.6
-#: Most bytes of benchmark vectors that are broadcast; a larger benchmark is searched in several passes.
-SENT_BYTES = 64 << 20
 _keep = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -210,16 +208,27 @@ class Matcher:
         return None
 
 
+def _parts(sizes: list[int], most: int) -> list[list[int]]:
+    """Consecutive indices whose sizes add up to most at most, or one index alone."""
+    out, total = [], 0
+    for i, n in enumerate(sizes):
+        if not out or total + n > most:
+            out.append([])
+            total = 0
+        out[-1].append(i)
+        total += n
+    return out
+
+
 def matchers(docs: DataFrame, benchmark: DataFrame, key: str = "item_id") -> list[Matcher]:
-    """One matcher for each part of the benchmark that is small enough to be sent; the benchmark is bounded by its nature."""
+    """One matcher for each part of the benchmark with no more segments than RANK, so that the projection loses nothing of them."""
     df, n = document_frequencies(docs)
     idf = np.log((n + 1) / (df + 1)) + 0.1
     items = benchmark.select(key, "text").where("text is not null").distinct().orderBy(key, "text").collect()
     items = [r for r in items if len(words_of(r["text"].encode()))]
     out = []
-    per = max(1, SENT_BYTES // (4 * RANK * 40))
-    for i in range(0, len(items), per):
-        part = items[i : i + per]
+    for part in _parts([len(_segments(words_of(r["text"].encode()))) for r in items], RANK):
+        part = [items[i] for i in part]
         segments = [s for r in part for s in _segments(words_of(r["text"].encode()))]
         used = np.unique(np.concatenate([_bucket(s) for s in segments]))
         place = np.full(1 << BITS, -1, np.int64)

@@ -291,6 +291,17 @@ def test_decontamination(spark, empty):
     assert decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_many_items(spark):
+    """More segments than the SVD's rank: verbatim copies of all items are found."""
+    rng = random.Random(10)
+    items = [(i, text(rng, 40, 9000)) for i in range(500)]
+    rows = [(i, text(rng, 40, 9000) + " " + items[i][1] + " " + text(rng, 40, 9000)) for i in range(80)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    found = {(r["doc_id"], r["item_id"]) for r in got}
+    assert found == {(i, i) for i in range(80)}, len(found)
+
+
 def brute_repeats(rows, length):
     texts = [(r[0], (r[1] or "").encode()) for r in rows]
     n = collections.Counter(t[i : i + length] for _, t in texts for i in range(len(t) - length + 1))
