@@ -1,20 +1,22 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Document frequencies of hashed words are counted over all documents. The benchmark items' TF-IDF rows are factored by
-a distributed randomised SVD (Halko, Martinsson and Tropp 2011); every half-overlapping passage of every document is
-projected onto its right singular vectors, and its cosine with each item, over the passage's whole TF-IDF norm, makes
-candidates. A benchmark with more than ``RANK`` segments is searched in parts, so the projection loses nothing of them.
-Candidates are verified on words: the longest common subsequence must hold ``EXACT`` of the item's words, or
-``PARAPHRASE`` of them together with the item's answer, its last sentence.
-
-A passage is two blocks of ``BLOCK`` words; items longer than that are cut into segments of at most BLOCK words for the retrieval, so each lies
-whole in one passage, and are verified whole against the text around the passage. Null and empty texts match nothing;
-an empty benchmark matches nothing. One row per document row and item.
+a distributed randomised SVD (Halko, Martinsson and Tropp 2011), and every block of ``BLOCK`` words of every document is
+projected onto its right singular vectors. Products with an item add up over blocks, so an item is held against
+passages of as many blocks as any stretch of its length and a half needs to lie whole in one, a passage from each block.
+Candidates are verified on words: the longest common subsequence of the item and a stretch must hold ``EXACT`` of the
+item's words, or ``PARAPHRASE`` of them while the text around the passage holds the item's answer, its last sentence.
+
+No passage that verification would convict is lost by the retrieval: where a passage has m of an item's words, their
+product is at least the sum of the m least squared IDFs of the item, which is the threshold, less a bound of what the
+projection drops. A benchmark is searched in parts of ``RANK`` items, so that little is dropped. Null and empty texts
+match nothing; an empty benchmark matches nothing. One row per document row and item.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +30,10 @@ BITS = 16
 BLOCK = 32
 RANK = 256
 POWER_STEPS = 2
-COSINE = 0.3
 EXACT = 0.8
 PARAPHRASE = 0.6
+#: Bound of the rounding in single precision, as a share of a passage's summed weights.
+ROUNDING = 1e-4
 _keep = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -63,15 +66,9 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return df, int(got["n"][~own].sum())
 
 
-def _segments(h: np.ndarray) -> list[np.ndarray]:
-    """An item's words in as few segments of at most BLOCK words as there can be, of even length."""
-    k = max(1, -(-len(h) // BLOCK))
-    return [h[i * len(h) // k : (i + 1) * len(h) // k] for i in range(k)]
-
-
-def _rows(segments: list[np.ndarray], idf: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
-    out = np.zeros((len(segments), width))
-    for i, h in enumerate(segments):
+def _rows(items: list[np.ndarray], idf: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(items), width))
+    for i, h in enumerate(items):
         b = _bucket(h)
         np.add.at(out[i], place[b], idf[b])
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
@@ -93,7 +90,7 @@ def randomised_svd(benchmark: DataFrame, idf: np.ndarray, place: np.ndarray, wid
             q, idf, place = sent.value
             y = np.zeros_like(q)
             for batch in batches:
-                a = _rows([s for t in utf8(batch, "text") for s in _segments(words_of(t)) if len(s)], idf, place, len(q))
+                a = _rows([h for t in utf8(batch, "text") if len(h := words_of(t))], idf, place, len(q))
                 y += a.T @ (a @ q)
             at = np.flatnonzero(y.any(1))
             yield pa.record_batch({"i": pa.array(at, pa.int32()), "row": pa.array(list(y[at]), pa.list_(pa.float64()))})
@@ -112,7 +109,7 @@ def randomised_svd(benchmark: DataFrame, idf: np.ndarray, place: np.ndarray, wid
         for r in got:
             y[r["i"]] = r["row"]
         q = np.linalg.qr(y)[0]
-    return q[:, :rank] if wide == rank else q
+    return q
 
 
 def lcs(item: list, text: list) -> tuple[int, int, int]:
@@ -134,108 +131,125 @@ def _answer(text: str) -> str:
     return parts[-1] if len(parts) > 1 else ""
 
 
+def _need(item: list, answer: list) -> int:
+    """Fewest of an item's words that can convict."""
+    return max(1, int(np.ceil((PARAPHRASE if answer else EXACT) * len(item) - 1e-9)))
+
+
+def _reach(item: list) -> int:
+    return len(item) + len(item) // 2
+
+
 class Matcher:
-    def __init__(self, idf: np.ndarray, place: np.ndarray, v: np.ndarray, ids: list, texts: list[str]) -> None:
-        self.idf, self.place = idf, place
+    def __init__(self, idf: np.ndarray, place: np.ndarray, q: np.ndarray, ids: list, texts: list[str]) -> None:
+        self.idf, self.place, self.ids = idf, place, ids
         self.items = [words_of(t.encode()).tolist() for t in texts]
         self.answers = [words_of(_answer(t).encode()).tolist() for t in texts]
-        pairs = [(i, s) for i, h in enumerate(self.items) for s in _segments(np.array(h, np.uint64)) if len(s)]
-        self.owner = np.array([i for i, _ in pairs])
-        rows = _rows([s for _, s in pairs], idf, place, len(v))
-        self.latent = (rows @ v).astype(np.float32)
-        self.ids = ids
-        self.v = np.vstack([v, np.zeros((1, v.shape[1]))]).astype(np.float32)
+        self.counts = [Counter(h) for h in self.items]
+        self.sets = [frozenset(h) for h in self.items]
+        self.document, self.passages = None, {}
+        self.need = [_need(h, a) for h, a in zip(self.items, self.answers)]
+        #: blocks of a passage, so that a stretch that begins anywhere in its first block lies in it whole
+        self.wide = np.array([-(-(_reach(h) + BLOCK - 1) // BLOCK) for h in self.items])
+        own = [np.array(h, np.uint64) for h in self.items]
+        rows = _rows(own, idf, place, len(q))
+        # the singular vectors of the rows within the range that was found, without the oversampling
+        u, d, w = np.linalg.svd(rows @ q, full_matrices=False)
+        keep = d > 1e-9
+        v, self.latent = q @ w[keep].T, (u[:, keep] * d[keep]).astype(np.float32)
+        self.lost = np.linalg.norm(rows - (rows @ v) @ v.T, axis=1) + ROUNDING
+        weights = [idf[_bucket(h)] for h in own]
+        norms = [np.linalg.norm(np.bincount(place[_bucket(h)], x)) for h, x in zip(own, weights)]
+        self.least = np.array([np.sort(x**2)[:m].sum() / n for x, m, n in zip(weights, self.need, norms)])
+        self.v = v.astype(np.float32)
 
     def candidates(self, many: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For documents' words: (document, first word of the passage, item) of each candidate."""
+        """For documents' words: (document, first word of the passage, item) of each candidate, by passage."""
         lens = np.array([len(h) for h in many])
-        blocks = np.maximum(1, -(-lens // BLOCK))
-        h = np.concatenate(many)
-        b = _bucket(h)
-        w = self.idf[b]
-        first_word = np.concatenate([[0], np.cumsum(lens)[:-1]])
+        blocks = -(-lens // BLOCK)
+        b = _bucket(np.concatenate(many))
         doc = np.repeat(np.arange(len(many)), blocks)
-        base = np.concatenate([[0], np.cumsum(blocks)[:-1]])
-        start = first_word[doc] + BLOCK * (np.arange(len(doc)) - base[doc])
+        base = np.concatenate([[0], np.cumsum(blocks)])
+        begin = BLOCK * (np.arange(len(doc)) - base[doc])
+        start = np.concatenate([[0], np.cumsum(lens)[:-1]])[doc] + begin
         at = self.place[b]
         known = at >= 0
         # words of no item have no part in the projection: sums over the others alone
         count = np.concatenate([[0], np.cumsum(known)])
-        own, lo = at[known], count[start]
-        hi = np.append(lo[1:], len(own))
+        own, lo, w = at[known], count[start], self.idf[b[known]]
+        full = np.append(lo[1:], len(own)) > lo
         z = np.zeros((len(doc), self.v.shape[1]), np.float32)
-        full = hi > lo
+        weight = np.zeros(len(doc))
         if full.any():
-            z[full] = np.add.reduceat(self.v[own] * w[known][:, None].astype(np.float32), lo[full], axis=0)
-        # a passage's norm takes its words' counts: sum over different words of (count * idf)^2, here per block of the pair
-        last = base + blocks - 1
-        single = np.zeros(len(doc), bool)
-        single[last] = blocks > 1  # the last block of a longer document only joins the one before it
-        pick = np.flatnonzero(~single)
-        second = np.minimum(pick + 1, len(doc) - 1)
-        joins = (doc[second] == doc[pick]) & (second != pick)
-        p = z[pick] + np.where(joins[:, None], z[second], 0)
-        begin = start[pick]
-        end = np.minimum(begin + 2 * BLOCK, first_word[doc[pick]] + lens[doc[pick]])
-        owner = np.repeat(np.arange(len(pick)), end - begin)
-        words = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(end - begin)[:-1]]), end - begin) + np.repeat(begin, end - begin)
-        key = owner * (1 << BITS) + b[words]
-        key.sort()
-        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        n = np.diff(np.append(new, len(key)))
-        norm = np.sqrt(np.bincount(key[new] >> BITS, (n * self.idf[key[new] & ((1 << BITS) - 1)]) ** 2, minlength=len(pick)))
-        sims = p @ self.latent.T
-        hit, seg = np.nonzero(sims > COSINE * np.maximum(norm, 1e-9)[:, None].astype(np.float32))
-        return doc[pick][hit], (begin - first_word[doc[pick]])[hit], self.owner[seg]
+            z[full] = np.add.reduceat(self.v[own] * w[:, None].astype(np.float32), lo[full], axis=0)
+            weight[full] = np.add.reduceat(w, lo[full])
+        sims = np.zeros((len(doc) + 1, len(self.ids)))
+        np.cumsum(z @ self.latent.T, axis=0, dtype=np.float64, out=sims[1:])
+        weight = np.concatenate([[0], np.cumsum(weight)])
+        found = []
+        for wide in np.unique(self.wide):
+            items = np.flatnonzero(self.wide == wide)
+            part = sims[:, items]
+            end = np.minimum(np.arange(len(doc)) + wide, base[doc + 1])
+            slack = (weight[end] - weight[:-1])[:, None] * self.lost[items]
+            hit, it = np.nonzero(part[end] - part[:-1] + slack >= self.least[items] * (1 - 1e-6))
+            found.append((hit, items[it]))
+        hit, it = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((it, hit))
+        hit, it = hit[order], it[order]
+        return doc[hit], begin[hit], it
+
+    def _set_of(self, words: np.ndarray, begin: int, end: int) -> set:
+        """A passage's words, kept as long as calls are for the same document."""
+        if self.document is not words:
+            self.document, self.passages = words, {}
+        if (begin, end) not in self.passages:
+            self.passages[begin, end] = set(words[begin:end].tolist())
+        return self.passages[begin, end]
 
     def verify(self, words: np.ndarray, begin: int, item: int) -> float | None:
-        """Share of the item's words in the longest common subsequence with the text around a passage, if that convicts."""
-        own = self.items[item]
-        near = words[max(0, begin - len(own)) : begin + 2 * BLOCK + len(own)].tolist()
-        have = set(near)
-        if sum(w in have for w in own) < PARAPHRASE * len(own):
+        """Share of the item's words in the longest common subsequence with a stretch around a passage, if that convicts."""
+        own, answer, need = self.items[item], self.answers[item], self.need[item]
+        counts, end = self.counts[item], begin + BLOCK * int(self.wide[item])
+        # different words in common are quick to count; the item's repeated words count as found
+        if len(self.sets[item] & self._set_of(words, begin, end)) + len(own) - len(counts) < need or _shared(counts, words[begin:end].tolist()) < need:
             return None
-        # the subsequence must lie in a stretch of the item's length and a half
-        best, reach = 0, len(own) + len(own) // 2
-        for i in range(0, max(1, len(near) - reach + len(own) // 2), max(1, len(own) // 4)):
-            best = max(best, lcs(own, near[i : i + reach])[0])
+        near = words[max(0, begin - len(own)) : end + len(own)].tolist()
+        # the subsequence must lie in a stretch of the item's length and a half, which can begin at a word of the item
+        best, reach = 0, _reach(own)
+        for i, w in enumerate(near):
+            if w in counts and _shared(counts, stretch := near[i : i + reach]) >= max(need, best + 1):
+                best = max(best, lcs(own, stretch)[0])
+                if best == len(own):
+                    break
         share = best / len(own)
         if share >= EXACT:
             return share
-        answer = self.answers[item]
         if share >= PARAPHRASE and answer and lcs(answer, near)[0] == len(answer):
             return share
         return None
 
 
-def _parts(sizes: list[int], most: int) -> list[list[int]]:
-    """Consecutive indices whose sizes add up to most at most, or one index alone."""
-    out, total = [], 0
-    for i, n in enumerate(sizes):
-        if not out or total + n > most:
-            out.append([])
-            total = 0
-        out[-1].append(i)
-        total += n
-    return out
+def _shared(counts: Counter, words: list) -> int:
+    """Words in common, each as often as both have it."""
+    return sum(min(n, counts[w]) for w, n in Counter(w for w in words if w in counts).items())
 
 
 def matchers(docs: DataFrame, benchmark: DataFrame, key: str = "item_id") -> list[Matcher]:
-    """One matcher for each part of the benchmark with no more segments than RANK, so that the projection loses nothing of them."""
+    """One matcher for each part of the benchmark of RANK items, so that the projection loses nothing of them."""
     df, n = document_frequencies(docs)
     idf = np.log((n + 1) / (df + 1)) + 0.1
     items = benchmark.select(key, "text").where("text is not null").distinct().orderBy(key, "text").collect()
     items = [r for r in items if len(words_of(r["text"].encode()))]
     out = []
-    for part in _parts([len(_segments(words_of(r["text"].encode()))) for r in items], RANK):
-        part = [items[i] for i in part]
-        segments = [s for r in part for s in _segments(words_of(r["text"].encode()))]
-        used = np.unique(np.concatenate([_bucket(s) for s in segments]))
+    for i in range(0, len(items), RANK):
+        part = items[i : i + RANK]
+        used = np.unique(np.concatenate([_bucket(words_of(r["text"].encode())) for r in part]))
         place = np.full(1 << BITS, -1, np.int64)
         place[used] = np.arange(len(used))
         rows = benchmark.sparkSession.createDataFrame([(r["text"],) for r in part], "text string")
-        v = randomised_svd(rows, idf, place, len(used), RANK, len(segments))
-        out.append(Matcher(idf, place, v, [r[key] for r in part], [r["text"] for r in part]))
+        q = randomised_svd(rows, idf, place, len(used), RANK, len(part))
+        out.append(Matcher(idf, place, q, [r[key] for r in part], [r["text"] for r in part]))
     return out
 
 

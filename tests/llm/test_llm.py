@@ -302,6 +302,47 @@ def test_decontamination_of_many_items(spark):
     assert found == {(i, i) for i in range(80)}, len(found)
 
 
+def brute_leaks(rows, items):
+    """Pairs with a stretch of the item's length and a half that holds enough of the item's words in order; items without an answer."""
+    out = set()
+    for d, t in rows:
+        words = t.split()
+        for i, item in items:
+            own = item.split()
+            if sum((collections.Counter(own) & collections.Counter(words)).values()) < 0.8 * len(own):
+                continue
+            for a in range(len(words)):
+                best = [0] * (len(own) + 1)
+                for w in words[a : a + len(own) + len(own) // 2]:
+                    diagonal = 0
+                    for k, x in enumerate(own):
+                        diagonal, best[k + 1] = best[k + 1], max(best[k + 1], best[k], diagonal + (x == w))
+                if best[-1] >= 0.8 * len(own):
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_decontamination_finds_all_that_brute_force_does(spark):
+    """Short, long, changed and stretched copies between rare words, and more items than the SVD's rank."""
+    rng = random.Random(11)
+    items = [(i, text(rng, n, 2000)) for i, n in enumerate([4, 6, 8, 12, 15, 25, 40, 59, 130] * 36)]
+    rows = []
+    for i in range(0, 324, 3):
+        w = items[i][1].split()
+        for _ in range(int(0.2 * len(w)) if i % 2 else 0):
+            w[rng.randrange(len(w))] = "other"
+        for _ in range(len(w) // 3 if i % 4 > 1 else 0):
+            w.insert(rng.randrange(1, len(w)), f"more{rng.randrange(99)}")
+        around = [f"rare{i}x{k}" for k in range(150)]
+        at = rng.randrange(100)
+        rows.append((i, " ".join(around[:at] + w + around[at:])))
+    want = brute_leaks(rows, items)
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r["doc_id"], r["item_id"]) for r in got}
+    assert len(want) > 90 and found == want, (len(want), len(want - found), len(found - want))
+
+
 def brute_repeats(rows, length):
     texts = [(r[0], (r[1] or "").encode()) for r in rows]
     n = collections.Counter(t[i : i + length] for _, t in texts for i in range(len(t) - length + 1))
