@@ -142,6 +142,16 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_bare_notice_and_full_texts(spark):
+    filler = "some other words that mean nothing at all here " * 30
+    rows = [(1, filler + "\nAll rights reserved.\n" + filler), (2, filler + "all rights are reserved " + filler)]
+    full = ("MIT-text", "ISC-text", "BSD-2-Clause-text", "BSD-3-Clause-text", "AGPL-header", "LGPL-header")
+    rows += [(10 + i, filler + licenses.TEMPLATES.get(n, "") + " " + filler) for i, n in enumerate(full)]
+    got = {(r["doc_id"], r["template"]): (r["places"], r["containment"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1, "All-rights-reserved"] == (1, 1.0) and not any(d == 2 for d, _ in got)
+    assert all(got[10 + i, n] == (1, 1.0) for i, n in enumerate(full))
+
+
 def test_plan_is_best_fit_decreasing():
     rng = random.Random(6)
     for _ in range(20):
