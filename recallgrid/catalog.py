@@ -203,11 +203,14 @@ def hashed_terms(spark, d):
 
 @query()
 def text_similarity(spark, d):
-    """Texts that are nearest to the texts of turn 0 in each conversation whose id is divisible by 50, by hash embedding."""
+    """Texts that are nearest to the text of each turn of the conversations whose id is divisible by 50, by hash embedding.
+
+    Ids hold the conversation above 32 bits and the turn below.
+    """
     c = T.read(spark, d, "conversations")
-    q = c.where("turn = 0 and conv_id % 50 = 0").groupBy(F.col("conv_id").alias("query_id")).agg(F.min("text").alias("content"))
-    m = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("memory_id"), F.col("text").alias("content"))
-    return retrieval.text_similarity(m, q, 5, 96)
+    m = c.select("conv_id", (F.shiftleft(F.col("conv_id").cast("long"), 32) + F.col("turn")).alias("memory_id"), F.col("text").alias("content"))
+    q = m.where("conv_id % 50 = 0").select(F.col("memory_id").alias("query_id"), "content")
+    return retrieval.text_similarity(m, q, 5)
 
 
 # --- sequences -----------------------------------------------------------------------------------------------------

@@ -1,9 +1,12 @@
 """Numeric cases and invariants of the engine's own operators."""
 
 import math
+import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from recallgrid import catalog
 from recallgrid.functions import scores, text, vectors
 from recallgrid.operators import graph, lifecycle, metrics, retrieval, sequences
 from recallgrid.plans import router
@@ -168,3 +171,25 @@ def test_streamed_steps_equal_batch(spark, tmp_path):
     learn.run_to(learn.steps(stream), f"file://{tmp_path}/out", f"file://{tmp_path}/state")
     got = {(r["pool"], r["from_id"], r["to_id"]): r["n"] for r in spark.read.parquet(f"file://{tmp_path}/out").groupBy("pool", "from_id", "to_id").agg(F.count("*").alias("n")).collect()}
     assert got == {(p, *k): n for p in (1, 2) for k, n in {(1, 2): 2, (2, 3): 1, (3, 1): 1}.items()}
+
+
+def test_text_similarity_of_all_turns(spark, tmp_path):
+    """The registered query against brute force at 384 dimensions, with a conversation of more than 1,000 turns."""
+    rng = random.Random(3)
+    say = lambda n: " ".join(f"word{rng.randrange(300)}" for _ in range(n))
+    rows = [(50, t, "user", say(6)) for t in (0, 1, 7, 999, 1000, 1001)] + [(51, t, "user", say(6)) for t in range(30)] + [(100, 0, "user", None), (100, 1, "user", say(3))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"file://{tmp_path}/conversations.parquet")
+    at = {(c << 32) + t: text.semantic_vector(x).astype(np.float32).astype(float) for c, t, _, x in rows}
+    want = {}
+    for c, t, _, x in rows:
+        q = at[(c << 32) + t]
+        if c % 50 == 0 and x:
+            near = [(-round(float(q @ v / max(np.linalg.norm(q) * np.linalg.norm(v), 1e-12)), 6), i) for i, v in at.items()]
+            want[(c << 32) + t] = [(r + 1, i, -s) for r, (s, i) in enumerate(sorted(near)[:5])]
+    got = {}
+    for r in catalog.QUERIES["text_similarity"](spark, f"file://{tmp_path}").orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["memory_id"], r["similarity"]))
+    assert got.keys() == want.keys() and len(want) == 7
+    for i, found in got.items():
+        assert [x[:2] for x in found] == [x[:2] for x in want[i]]
+        assert all(math.isclose(a[2], b[2], abs_tol=2e-6) for a, b in zip(found, want[i]))
