@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,36 +23,51 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors share. Where the session names none, a temporary one in local mode, as in tests, else an error."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="recallgrid-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="recallgrid-"))
+        found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
+#: Spark deletes a job's shuffle files when the job ends, not when the driver's JVM collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Jobs whose shuffle files nothing will read again."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends in files that outlive any executor."""
     path = f"{shared_dir(df.sparkSession)}/recallgrid/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with own_shuffles(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a cut that nothing will read again."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.cut_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of jobs whose results have been written."""
-    for _ in range(2):  # what the first round frees may hold what the second one does
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of cuts that nothing will read again."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def utf8(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
@@ -156,19 +170,19 @@ def lower_ascii(text: bytes) -> bytes:
     return text.lower()  # bytes.lower() changes A-Z alone
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """Connected components of an undirected edge list as (node, component = smallest node); nodes without edges are absent.
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Connected components of an undirected edge list as (node, component = smallest node), a written table; nodes without edges are absent.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014): every node hands its larger
     neighbours, then its smaller ones, to the smallest. Minima are combined before the shuffle, so a hub with a
     third of all edges costs its tasks one row each; the join back is one that AQE can split.
-    Each round ends in a written table; it stops when the edge set no longer changes.
+    Each round ends in a written table, and the rounds go on until the edge set no longer changes.
     """
-    spark = edges.sparkSession
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = cut(e, "edges")
-    before = None
-    for _ in range(rounds):
+    before, now = None, ()
+    while now != before:
+        before = now
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -176,12 +190,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = cut(small.select("x.u", "x.v").where("u <> v").distinct(), "edges")
+        after = cut(small.select("x.u", "x.v").where("u <> v").distinct(), "edges")
+        discard(e)
+        e = after
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        release(spark)
-        if now == before:
-            break
-        before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
+    nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         e.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    ).distinct()
+    )
+    out = cut(nodes.distinct(), "components")
+    discard(e)
+    return out

@@ -17,9 +17,14 @@ regions comes from a lossless split of the shingle universe, and pivots work whe
    sent out, members go to the Voronoi cell of their nearest pivot, members in the windows are replicated to other
    cells, and cells are joined recursively. Cells that don't get smaller are joined block by block.
 
-Links are exact: a pair is linked if and only if its exact overlap says so. Null, empty and blank texts have an empty
-set, no links and themselves as component. Repeated rows have equal sets and share a component;
-rows without a doc_id link as others do but give no component its number.
+A signature that more than ``HOT_SETS`` sets share isn't looked at in one task: its sets' counts, as sets of (bucket,
+repetition), are regions of their own and go through 2. and 3., where cells and blocks bound what one task holds.
+
+Links are exact: a pair is linked if and only if its exact overlap says so. Sets are told apart by 128 bits and numbered
+in a written table. Null, empty and blank texts have an empty set, no links and themselves as component. Repeated rows
+have equal sets and share a component; rows without a doc_id link and bridge as others do but give no component its
+number (a component without any doc_id has null). An empty table gives an empty result; texts of any length are read
+whole, and a set larger than a region's bound is a region of its own. Columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, discard, lower_ascii, mix, release, shingles, utf8, word_hashes
+from .common import components, cut, discard, lower_ascii, mix, shingles, utf8, word_hashes
 
 #: Shingles (8 bytes each) of a region that one task joins.
 REGION_TOKENS = 6_000_000
@@ -46,6 +51,8 @@ SPARE = 2
 BUCKETS, MOST_BUCKETS = 128, 8192
 #: Distinct groups of sets with an equal part whose signatures are sent to all executors (8 bytes each); more are joined by a shuffle.
 SENT_GROUPS = 1_000_000
+#: Sets with one signature that one task compares by their counts.
+HOT_SETS = 2_000
 
 
 class Rule:
@@ -101,40 +108,75 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
 
 
 def bucket_counts(s: np.ndarray) -> bytes:
-    """Members of a set by the first bits of their hash; adjacent buckets of more bits add up to those of fewer."""
+    """Members of a set by the first bits of their hash: a byte with the bits of a count, 4 if no count needs more, and the counts.
+
+    Adjacent buckets of more bits add up to those of fewer.
+    """
     b = BUCKETS
     while b < MOST_BUCKETS and 4 * b < len(s):
         b *= 2
-    return np.bincount((s >> np.uint64(65 - b.bit_length())).astype(np.int64), minlength=b).astype("<u2").tobytes()
+    n = np.bincount((s >> np.uint64(65 - b.bit_length())).astype(np.int64), minlength=b)
+    if n.max() < 16:
+        return b"\4" + (n[::2] << 4 | n[1::2]).astype(np.uint8).tobytes()
+    return b"\x08" + n.astype(np.uint8).tobytes() if n.max() < 256 else b" " + n.astype("<u4").tobytes()
+
+
+def read_counts(raw: bytes) -> np.ndarray:
+    if raw[0] == 4:
+        x = np.frombuffer(raw, np.uint8, offset=1)
+        return np.column_stack([x >> 4, x & 15]).ravel().astype(np.int64)
+    return np.frombuffer(raw, np.uint8 if raw[0] == 8 else "<u4", offset=1).astype(np.int64)
+
 
+def _folded(n: np.ndarray, wide: int) -> np.ndarray:
+    return n.reshape(wide, -1).sum(1)
 
-def _set_id(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def describe(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles, set_id (null for an empty set), signatures and bucket counts of every row."""
+    """doc_id, n_shingles, digest of the set (null for an empty one) and a hash of the text for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
-                n, ids, sigs, counts = [], [], [], []
-                for t in utf8(piece):
+                sets = [shingle_set(t, rule.words) for t in utf8(piece)]
+                yield pa.record_batch({
+                    "doc_id": piece.column(0), "n_shingles": pa.array(list(map(len, sets)), pa.int64()),
+                    "digest": pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), "text_hash": piece.column(2),
+                })
+
+    key = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {key}, n_shingles long, digest binary, text_hash long")
+
+
+def _signed(docs: DataFrame, rule: Rule) -> DataFrame:
+    """digest, n, signatures and bucket counts of every set that isn't empty; a task hands on most repeated ones once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                sets = {}
+                for t in utf8(batch.slice(at, 500)):
                     s = shingle_set(t, rule.words)
-                    counts.append(bucket_counts(s))
-                    n.append(len(s))
-                    ids.append(_set_id(s) if len(s) else None)
-                    sigs.append(rule.signatures(s).view(np.int64) if len(s) else np.zeros(0, np.int64))
+                    if len(s) and (d := _digest(s)) not in seen:
+                        seen.add(d)
+                        sets[d] = s
+                sigs = [rule.signatures(s).view(np.int64) for s in sets.values()]
+                if len(seen) > 1 << 18:  # what is seen again later is dropped behind the shuffle
+                    seen.clear()
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])])
                 yield pa.record_batch({
-                    "doc_id": piece.column(0), "n_shingles": pa.array(n, pa.int64()), "set_id": pa.array(ids, pa.int64()),
-                    "sigs": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sigs), pa.int64())),
-                    "counts": pa.array(counts, pa.binary()),
+                    "digest": pa.array(list(sets), pa.binary()), "n": pa.array([len(s) for s in sets.values()], pa.int64()),
+                    "sigs": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*sigs, np.zeros(0, np.int64)]), pa.int64())),
+                    "counts": pa.array([bucket_counts(s) for s in sets.values()], pa.binary()),
                 })
 
-    key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, n_shingles long, set_id long, sigs array<long>, counts binary")
+    return docs.select("text").mapInArrow(run, "digest binary, n long, sigs array<long>, counts binary")
 
 
 def _close(rule: Rule) -> Callable:
@@ -158,13 +200,13 @@ def _close(rule: Rule) -> Callable:
 
         def edges(t: pa.Table) -> pa.RecordBatch:
             sig, ids, sizes = (t.column(i).to_numpy() for i in range(3))
-            raw = t.column(3).to_pylist()
+            own = [read_counts(x) for x in t.column(3).to_pylist()]
             first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
             out = []
             for a, b in zip(first, np.append(first[1:], len(sig))):
                 if b - a > 1:
-                    wide = min(map(len, raw[a:b])) // 2
-                    counts = np.array([np.frombuffer(x, "<u2").reshape(wide, -1).sum(1, dtype=np.uint32) for x in raw[a:b]])
+                    wide = min(map(len, own[a:b]))
+                    counts = np.array([_folded(x, wide) for x in own[a:b]])
                     out += group(ids[a:b], sizes[a:b], counts)
             return pa.record_batch({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
@@ -183,6 +225,29 @@ def _close(rule: Rule) -> Callable:
     return run
 
 
+def _hot_regions(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Regions (region, set_id, n, s) of signatures that very many sets have: counts as sorted sets of bucket and repetition.
+
+    The Jaccard index of such sets is that of the counts. Linked sets' sizes, so their numbers of buckets, differ by a
+    bounded factor: each set goes to its own number's region and, folded, to those of the smaller numbers within it.
+    """
+    fewer = range(math.ceil(math.log2(rule.den / rule.num)) + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            regions, ids, sizes, tokens = [], [], [], []
+            for sig, sid, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                n = read_counts(raw)
+                for wide in {max(BUCKETS, len(n) >> k) for k in fewer}:
+                    x = _folded(n, wide)
+                    first = np.repeat(np.cumsum(x) - x, x)
+                    s = np.repeat(np.arange(wide, dtype=np.uint64) << np.uint64(32), x) + (np.arange(len(first)) - first).astype(np.uint64)
+                    regions.append(_cell(sig, wide)), ids.append(sid), sizes.append(len(s)), tokens.append(s.tobytes())
+            yield pa.record_batch({"region": pa.array(regions, pa.int64()), "set_id": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int64()), "s": pa.array(tokens, pa.binary())})
+
+    return rows.select("sig", "set_id", "counts").mapInArrow(run, "region long, set_id long, n long, s binary")
+
+
 def overlaps(tokens: np.ndarray, first: np.ndarray, pivot: np.ndarray) -> np.ndarray:
     """Intersection sizes of a pivot (sorted) with sets that lie one after another in tokens."""
     at = np.searchsorted(pivot, tokens)
@@ -234,22 +299,26 @@ def _leaf(rule: Rule) -> Callable:
 
 
 def _with_sets(docs: DataFrame, rule: Rule, members: DataFrame) -> DataFrame:
-    """region, set_id, n and the set of each member; members: doc_id of one document for each set."""
+    """region, set_id, n and the set of each member; members: region, set_id, digest and the doc_id and text hash of one row with that set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
                 sets = [shingle_set(t, rule.words) for t in utf8(piece)]
+                # another text with the same id and hash isn't the member's
+                own = [k for k, (s, d) in enumerate(zip(sets, piece.column(3).to_pylist())) if _digest(s) == d]
+                kept = piece.take(pa.array(own, pa.int64()))
                 yield pa.record_batch({
-                    "region": piece.column(0), "set_id": pa.array([_set_id(s) for s in sets], pa.int64()),
-                    "n": pa.array([len(s) for s in sets], pa.int64()), "s": pa.array([s.tobytes() for s in sets], pa.binary()),
+                    "region": kept.column(0), "set_id": kept.column(1), "n": pa.array([len(sets[k]) for k in own], pa.int64()),
+                    "s": pa.array([sets[k].tobytes() for k in own], pa.binary()),
                 })
 
-    # a doc_id that isn't unique may bring another row's set too: only sets that are members stay
-    rows = docs.select("doc_id", "text").join(members.select("doc_id", "region", F.col("set_id").alias("own")), "doc_id").select("region", "text", "own")
-    kept = rows.select("region", "text").mapInArrow(run, "region long, set_id long, n long, s binary")
-    return kept.dropDuplicates(["set_id"]).join(members.select("set_id"), "set_id", "left_semi")
+    own = members.select("region", "set_id", "digest", F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    rows = rows.join(own, rows["doc_id"].eqNullSafe(own["own_id"]) & (rows["text_hash"] == own["own_hash"]))
+    # repeated rows bring a set twice
+    return rows.select("region", "set_id", "text", "digest").mapInArrow(run, "region long, set_id long, n long, s binary").dropDuplicates(["region", "set_id"])
 
 
 def _cell(region: int, pivot: int) -> int:
@@ -339,37 +408,71 @@ def links_within(members: DataFrame, rule: Rule) -> DataFrame:
     return out
 
 
-def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, words: int = 3) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), component_size for every row."""
-    spark = docs.sparkSession
+def set_components(docs: DataFrame, num: int = 90, den: int = 100, words: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Written tables of all rows (doc_id, n_shingles, digest, text_hash) and of the different sets that aren't empty.
+
+    Sets: digest, root (the set's component), and the doc_id and text_hash of one row with that set, the least one with a doc_id.
+    """
     rule = Rule(num, den, words)
-    described = cut(describe(docs, rule), "described")
-    base = cut(described.select("doc_id", "n_shingles", "set_id"), "rows")
+    base = cut(describe(docs, rule), "rows")
     # one row for each different set; copies are combined before the shuffle
-    reps = cut(base.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "sets")
-    own = described.where("set_id is not null").join(reps, ["doc_id", "set_id"], "left_semi").dropDuplicates(["doc_id", "set_id"])
-    own = cut(own.select("set_id", F.col("n_shingles").alias("n"), "sigs", "counts"), "signatures")
-    release(spark)
-    discard(described)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    reps = base.where("digest is not null").groupBy("digest").agg(F.min(row).alias("r")).select("digest", "r.doc_id", "r.text_hash")
+    reps = cut(reps.withColumn("set_id", F.monotonically_increasing_id()), "sets")
+    own = _signed(docs, rule).join(reps.select("digest", "set_id"), "digest").dropDuplicates(["digest"])
+    own = cut(own.select("set_id", "n", "sigs", "counts"), "signatures")
     # signatures that several sets have; those with the same sets need one look only
     rows = own.select("set_id", F.explode("sigs").alias("sig"))
-    shared = rows.groupBy("sig").agg(F.count("*").cast("int").alias("c"), F.bit_xor(F.xxhash64("set_id")).alias("h")).where("c > 1")
-    groups = cut(shared.groupBy("c", "h").agg(F.min("sig").alias("sig")).select("sig"), "groups")
-    release(spark)
+    shared = rows.groupBy("sig").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("set_id")).alias("h")).where("c > 1")
+    groups = cut(shared.groupBy("c", "h").agg(F.min("sig").alias("sig")).select("sig", "c"), "groups")
     few = groups.count() <= SENT_GROUPS
-    close = rows.join(F.broadcast(groups) if few else groups, "sig").join(own.select("set_id", "n", "counts"), "set_id")
-    close = close.select("sig", "set_id", "n", "counts").repartition("sig").sortWithinPartitions("sig")
-    star = cut(close.mapInArrow(_close(rule), "a long, b long").distinct(), "close")
-    release(spark)
-    regions = cut(components(star), "regions")
-    release(spark)
+    pairs = cut(rows.join(F.broadcast(groups) if few else groups, "sig"), "pairs")
+    close = pairs.join(own.select("set_id", "n", "counts"), "set_id")
+    usual = close.where(F.col("c") <= HOT_SETS).select("sig", "set_id", "n", "counts").repartition("sig").sortWithinPartitions("sig")
+    star = cut(usual.mapInArrow(_close(rule), "a long, b long").distinct(), "close")
+    if groups.where(F.col("c") > HOT_SETS).isEmpty():
+        edges = star
+    else:
+        hot = cut(_hot_regions(close.where(F.col("c") > HOT_SETS), rule), "hot")
+        edges = star.unionAll(cut(links_within(hot, rule), "hot_links"))
+        discard(hot)
+    discard(own, pairs, groups)
+    regions = components(edges)
     members = regions.select(F.col("node").alias("set_id"), F.col("component").alias("region")).join(reps, "set_id")
-    links = cut(links_within(cut(_with_sets(docs, rule, members), "members"), rule), "links")
-    release(spark)
-    group = components(links).select(F.col("node").alias("set_id"), F.col("component").alias("root"))
-    # from sets to documents: the smallest doc_id of a component's sets
-    sets = reps.join(group, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    low = sets.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = sets.join(low, "root").select("set_id", "component_id")
-    out = base.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    sets = cut(_with_sets(docs, rule, members), "members")
+    links = cut(links_within(sets, rule), "links")
+    discard(sets, regions, star)
+    group = components(links)
+    named = reps.join(group.select(F.col("node").alias("set_id"), F.col("component").alias("root")), "set_id", "left")
+    named = cut(named.select("digest", F.coalesce("root", "set_id").alias("root"), "doc_id", "text_hash"), "named")
+    discard(reps, links, group)
+    return base, named
+
+
+def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, words: int = 3) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row."""
+    base, named = set_components(docs, num, den, words)
+    low = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    sets = named.join(low, "root").select("digest", "component_id", F.lit(True).alias("known"))
+    out = base.join(sets, "digest", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, num: int = 80, den: int = 100, words: int = 5) -> DataFrame:
+    """docs with one row of each component: the one with the least doc_id, of several such the one with the least hash of its text.
+
+    Rows are judged by their own text, so two texts with one doc_id are two documents. Rows without words stay, repeated
+    ones once. All columns are kept.
+    """
+    base, named = set_components(docs, num, den, words)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = named.groupBy("root").agg(F.min(row).alias("r")).select(F.col("r.doc_id").alias("own_id"), F.col("r.text_hash").alias("own_hash"))
+    blank = base.where("digest is null").select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"))
+    keep = cut(first.unionAll(blank).distinct(), "keep")
+    discard(base, named)
+    key = "_text_hash"
+    while key in docs.columns:
+        key += "_"
+    rows = docs.withColumn(key, F.xxhash64("text"))
+    kept = rows.join(keep, rows["doc_id"].eqNullSafe(keep["own_id"]) & (rows[key] == keep["own_hash"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", key]).drop(key)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, powers, release, utf8
+from .common import cut, discard, mix, powers, utf8
 
 LENGTH = 200
 K = 48
@@ -245,18 +245,15 @@ def _window_digests(rows: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """rid, start, n: windows (n from start on) that occur again. rows: rid, text."""
-    spark = rows.sparkSession
+    """rid, start, n: windows (n from start on) that occur again, a written table. rows: rid, text."""
     every = cut(_described(rows, length), "stretches")
     classes = cut(
         every.groupBy("key", "digest").agg(F.count("*").alias("copies"), F.first("rid").alias("rid"), F.first("start").alias("start"), F.first("n").alias("n")),
         "classes",
     )
-    release(spark)
     # keys of several classes, at least one of which has no copy
     keys = classes.groupBy("key").agg(F.count("*").alias("c"), F.min("copies").alias("least"), F.sum(F.col("n") + length - 1).alias("size")).where("c > 1 and least = 1").select("key", "size")
     mixed = cut(classes.join(keys, "key"), "mixed")
-    release(spark)
     total = mixed.agg(F.sum(F.col("n") + length - 1)).first()[0] or 0
     shards = max(1, int(total // SHARD_BYTES) + 1)
     places = mixed.groupBy("rid").agg(F.collect_list(F.struct("key", "start", "n", "size")).alias("places"))
@@ -266,7 +263,6 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         "rid", "p.key", "p.start", "p.n", "p.size", F.substring(F.encode(F.col("text"), "UTF-8"), F.col("p.start") + 1, F.col("p.n") + length - 1).alias("bytes")
     )
     bits = cut(bits, "bytes")
-    release(spark)
     usual, hot = bits.where(F.col("size") <= 4 * SHARD_BYTES), bits.where(F.col("size") > 4 * SHARD_BYTES)
     found = usual.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInPandas(_sorted_shards(length), "rid long, start int, n int")
     # runs of a key that is larger than a shard: what each run repeats by itself, and the windows that runs share
@@ -276,15 +272,15 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     shared = windows.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
     found = found.unionAll(windows.join(shared, "w", "left_semi").select("rid", "start", F.lit(1).alias("n")))
     copied = every.join(classes.where("copies > 1").select("key", "digest"), ["key", "digest"], "left_semi").select("rid", "start", "n")
-    return found.unionAll(copied)
+    out = cut(found.unionAll(copied).distinct(), "spans")
+    discard(every, classes, mixed, bits)
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row; with keep also the bytes that stay."""
     rows = docs.select("doc_id", "text").withColumn("rid", F.xxhash64("doc_id", "text"))
-    spans = cut(repeated_spans(rows.select("rid", "text"), length), "spans")
-    release(docs.sparkSession)
-    per = spans.distinct().groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    per = repeated_spans(rows.select("rid", "text"), length).groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -108,6 +108,39 @@ def test_jaccard_large_regions(spark, monkeypatch):
         assert got == brute_components(rows, 90, 100, 3)
 
 
+def test_jaccard_bridges_without_ids_and_hot_signatures(spark, monkeypatch):
+    """A row without a doc_id links its neighbours, one id has two texts, and signatures that many sets share are split."""
+    rng = random.Random(12)
+    base, rows = text(rng, 150, 10_000).split(), []
+    for i in range(90):
+        w = list(base)
+        for _ in range(i % 9):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    far = text(rng, 100, 10_000).split()
+    near, middle = far[:4] + ["a"] + far[5:], far[:4] + ["a", "b"] + far[6:]
+    rows += [(500, " ".join(far)), (None, " ".join(near)), (502, " ".join(near[:-1] + ["c"])), (503, " ".join(middle)), (None, None), (503, text(rng, 90)), (None, text(rng, 90))]
+    own = [(i, r[1]) for i, r in enumerate(rows)]
+    want = brute_components(own, 90, 100, 3)
+    ids = collections.defaultdict(list)
+    for i, (_, root) in want.items():
+        ids[root] += [rows[i][0]] if rows[i][0] is not None else []
+    expect = collections.Counter((rows[i][0], n, min(ids[root], default=None)) for i, (n, root) in want.items())
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot, most, levels in ((2000, 6_000_000, 4), (5, 6_000_000, 4), (5, 4000, 1)):
+        monkeypatch.setattr(jaccard, "HOT_SETS", hot)
+        monkeypatch.setattr(jaccard, "REGION_TOKENS", most)
+        monkeypatch.setattr(jaccard, "LEVELS", levels)
+        assert collections.Counter(tuple(r) for r in jaccard.jaccard_components(d).collect()) == expect
+    monkeypatch.setattr(jaccard, "SENT_GROUPS", 0)
+    kept = collections.Counter(tuple(r) for r in jaccard.drop_near_copies(d, 90, 100, 3).collect())
+    least = {}
+    for i, (n, root) in want.items():
+        key = (rows[i][0] is None, rows[i][0] or 0)
+        least[root] = min(least.get(root, key), key)
+    assert sorted((r[0] is None, r[0] or 0) for r in kept) == sorted(least.values()) and all(n == 1 for n in kept.values())
+
+
 def test_region_join_by_pivots():
     rng = np.random.default_rng(4)
     rule = jaccard.Rule(90, 100, 3)
