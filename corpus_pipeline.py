@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallgrid.llm import decontaminate, jaccard, language, packing, secrets
-from recallgrid.llm.common import cut, release, table
+from recallgrid.llm.common import cut, discard, table
 
 #: Posterior probability under which the language of a text counts as unknown.
 LEAST_SCORE = 0.5
@@ -34,11 +34,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links connect: shingles of five words, similarity of 0.8 or more."""
-    docs = _columns(docs)
-    groups = jaccard.jaccard_components(docs, 80, 100, 5)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    # repeated rows of the document that stays are copies too
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return jaccard.drop_near_copies(_columns(docs), 80, 100, 5).select(*COLUMNS)
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,6 +68,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", *COLUMNS)
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
-        release(spark)
+        before, docs = docs, cut(stage(spark, docs, sf_dir), name)
+        if hasattr(before, "cut_path"):
+            discard(before)
     return docs
