@@ -1,20 +1,29 @@
 """Secret scans: three base patterns, and formats learned by grammar inference.
 
-Strings labelled with their kind by the base patterns make a prefix tree; compatible states are merged (ALERGIA,
-Carrasco and Oncina 1994) into a probabilistic automaton for each kind. Every candidate token of a text is scored by
-its likelihood under the automata against a background of ordinary tokens, and high ones become further spans.
-Null and empty texts have no spans. Spans are code points, end exclusive, of whole pattern matches.
+Labelled credentials make a prefix tree for each format; compatible states are merged (ALERGIA, Carrasco and Oncina
+1994) into a probabilistic automaton. Labelled are the strings that the base patterns find in the corpus, by kind, and
+strings made by the rules of ``FORMATS``. Every token of a text with ``LEAST`` characters or more is a candidate, whatever
+it is made of and whatever base span it lies in: its likelihood under the best automaton is held against that under a
+background of character pairs, which are counted over all texts, and a token that a format explains better by
+``MARGIN`` bits a character is a span of its own.
+
+Null, empty and blank texts have no spans, an empty table gives an empty result; texts of any length are read whole and
+repeated rows are scanned alike. Spans are code points, end exclusive, of whole pattern matches or whole candidates.
+Columns other than doc_id and the text are not looked at, and redact keeps them as they are.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import math
+import random
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -22,13 +31,26 @@ from pyspark.sql import functions as F
 
 from .common import cut, discard, strings
 
-#: Labelled strings for each kind, and background tokens, that the automata are fitted on.
-MAX_TRAIN = 600
+#: Labelled strings that each automaton is fitted on, and the longest of them; longer strings are scored, not learned from.
+MAX_TRAIN, MAX_LENGTH = 600, 512
 ALPHA = 0.05
 #: Bits a character by which a format must beat the background.
-MARGIN = 0.5
+MARGIN = 1.0
 LEAST = 20
-MAX_SYMBOLS = 96
+
+_upper, _lower, _digit = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Public credential formats as rules: parts of (fixed text, or alphabet and length), joined.
+FORMATS: dict[str, list] = {
+    "cloud access key": ["AKIA", (_upper + "234567", 16)],
+    "code host token": ["ghp_", (_upper + _lower + _digit, 36)],
+    "chat bot token": ["xoxb-", (_digit, 12), "-", (_digit, 12), "-", (_upper + _lower + _digit, 24)],
+    "map service key": ["AIza", (_upper + _lower + _digit + "-_", 35)],
+    "payment key": ["sk_live_", (_upper + _lower + _digit, 24)],
+    "web token": ["eyJ", (_upper + _lower + _digit + "-_", 33), ".eyJ", (_upper + _lower + _digit + "-_", 60), ".", (_upper + _lower + _digit + "-_", 43)],
+    "hex digest": [(_digit + "abcdef", 40)],
+    "upper hex digest": [(_digit + "ABCDEF", 40)],
+    "base64 secret": [(_upper + _lower + _digit + "+/", 40)],
+}
 
 # fixed patterns of the base kinds
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -51,74 +73,90 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def symbol(c: str) -> str:
-    if c.isdigit():
-        return "0"
-    if c.isupper():
-        return "A"
-    if c in "abcdef":
-        return "a"
-    return "z" if c.isalpha() else c
+@functools.cache
+def _format_automata(n: int) -> list[Automaton]:
+    return [Automaton(made(k, n)) for k in FORMATS]
+
+
+def made(name: str, n: int) -> list[str]:
+    """n labelled strings of a format, the same ones at every call."""
+    rng = random.Random(name)
+    return ["".join(x if isinstance(x, str) else "".join(rng.choices(x[0], k=x[1])) for x in FORMATS[name]) for _ in range(n)]
 
 
-#: Characters of a symbol's class, over which its probability is spread evenly.
-CLASS_SIZE = {"0": 10, "A": 26, "a": 6, "z": 20}
+#: Characters of candidates; 0 in the background stands for all others and for a text's ends.
+ALPHABET = _upper + _lower + _digit + "+/_.=-"
+_place = np.zeros(128, np.int64)
+for _i, _c in enumerate(ALPHABET, 1):
+    _place[ord(_c)] = _i
 
 
 class Automaton:
-    """A probabilistic automaton over symbols, learned by merging compatible states of a prefix tree."""
+    """A probabilistic automaton over characters, learned by merging compatible states of a prefix tree."""
+
+    #: Added to the count of each character and of the end.
+    SMOOTH = 0.02
 
     def __init__(self, samples: list[str], alpha: float = ALPHA) -> None:
-        self.visits, self.ends, self.next = [0], [0], [dict()]
+        self.ends: list[int] = [0]
+        self.visits: list[int] = [len(samples)]
+        self.next: list[dict[str, int]] = [{}]
+        self.count: list[dict[str, int]] = [{}]  # of each edge
         for s in samples:
             at = 0
-            self.visits[0] += 1
-            for c in map(symbol, s[:MAX_SYMBOLS]):
+            for c in s:
                 if c not in self.next[at]:
                     self.next[at][c] = len(self.next)
                     self.next.append({})
-                    self.visits.append(0)
+                    self.count.append({})
                     self.ends.append(0)
+                    self.visits.append(0)
+                self.count[at][c] = self.count[at].get(c, 0) + 1
                 at = self.next[at][c]
                 self.visits[at] += 1
             self.ends[at] += 1
         self._learn(math.sqrt(0.5 * math.log(2 / alpha)))
-        self.symbols = sorted({c for d in self.next for c in d})
-
-    def _differs(self, f1: int, n1: int, f2: int, n2: int, bound: float) -> bool:
-        return n1 > 0 and n2 > 0 and abs(f1 / n1 - f2 / n2) > bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
 
     def _compatible(self, p: int, q: int, bound: float) -> bool:
         todo = [(p, q)]
         while todo:
             a, b = todo.pop()
-            if self._differs(self.ends[a], self.visits[a], self.ends[b], self.visits[b], bound):
+            n, m = self.visits[a], self.visits[b]
+            if not n or not m:
+                continue
+            most = bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+            if abs(self.ends[a] / n - self.ends[b] / m) > most:
                 return False
-            for c in {*self.next[a], *self.next[b]}:
-                x, y = self.next[a].get(c), self.next[b].get(c)
-                if self._differs(self.visits[x] if x is not None else 0, self.visits[a], self.visits[y] if y is not None else 0, self.visits[b], bound):
+            for c in {*self.count[a], *self.count[b]}:
+                if abs(self.count[a].get(c, 0) / n - self.count[b].get(c, 0) / m) > most:
                     return False
-                if x is not None and y is not None:
-                    todo.append((x, y))
+                if c in self.next[a] and c in self.next[b]:
+                    todo.append((self.next[a][c], self.next[b][c]))
         return True
 
     def _fold(self, p: int, q: int) -> None:
+        """Add the tree below q to the states that its strings reach from p."""
         todo = [(p, q)]
         while todo:
             a, b = todo.pop()
-            self.visits[a] += self.visits[b]
             self.ends[a] += self.ends[b]
+            self.visits[a] += self.visits[b]
             for c, y in self.next[b].items():
-                x = self.next[a].get(c)
-                if x is None:
+                self.count[a][c] = self.count[a].get(c, 0) + self.count[b][c]
+                if c in self.next[a]:
+                    todo.append((self.next[a][c], y))
+                else:
                     self.next[a][c] = y
-                elif x != y:
-                    todo.append((x, y))
 
     def _learn(self, bound: float) -> None:
-        red, blue = [0], [(0, c, y) for c, y in sorted(self.next[0].items())]
-        while blue:
-            parent, c, q = blue.pop(0)
+        """Red states are kept apart; a blue state, the next below them, is merged with the first compatible red one or turns red."""
+        red, reds = [0], {0}
+        while True:
+            blue = min(((r, c) for r in red for c, y in self.next[r].items() if y not in reds), default=None)
+            if blue is None:
+                break
+            parent, c = blue
+            q = self.next[parent][c]
             for p in red:
                 if self._compatible(p, q, bound):
                     self.next[parent][c] = p
@@ -126,90 +164,102 @@ class Automaton:
                     break
             else:
                 red.append(q)
-            # edges of red states that lead to states that aren't red yet
-            reds = set(red)
-            blue = sorted((r, c, y) for r in red for c, y in self.next[r].items() if y not in reds)
+                reds.add(q)
         place = {r: i for i, r in enumerate(red)}
-        self.visits, self.ends = [self.visits[r] for r in red], [self.ends[r] for r in red]
-        self.next = [{c: place[y] for c, y in self.next[r].items()} for r in red]
-        # visits that merging kept of a folded state's children are edges' counts: derive them once
-        self.flow = [self._edges(i) for i in range(len(red))]
-
-    def _edges(self, i: int) -> dict[str, float]:
-        out = max(1, self.visits[i] - self.ends[i])
-        total = sum(self.visits[y] for y in self.next[i].values()) or 1
-        return {c: out * self.visits[y] / total for c, y in self.next[i].items()}
+        wide = len(ALPHABET) + 1
+        #: for each state: bits and next state by character, bits of any other character, bits of the end
+        self.states = []
+        for r in red:
+            n = math.log2(self.visits[r] + self.SMOOTH * wide)
+            steps = {c: (math.log2(k + self.SMOOTH) - n, place[self.next[r][c]]) for c, k in self.count[r].items()}
+            self.states.append((steps, math.log2(self.SMOOTH) - n, math.log2(self.ends[r] + self.SMOOTH) - n))
+        del self.ends, self.visits, self.next, self.count
 
     def bits(self, s: str) -> float:
-        """log2 of the string's probability a character; unseen symbols are smoothed."""
+        """log2 of the probability of the whole string, its end included; behind an edge that no sample took all characters are alike."""
         at, total = 0, 0.0
-        k = len(CLASS_SIZE) + 6
-        for c in s:
-            x = symbol(c)
-            n = sum(self.flow[at].values()) if at is not None else 0
-            p = ((self.flow[at].get(x, 0) if at is not None else 0) + 0.02) / (n + 0.02 * k)
-            total += math.log2(p / CLASS_SIZE.get(x, 1))
-            at = self.next[at].get(x) if at is not None else None
-            if at is None:
-                at = 0
-        return total / max(1, len(s))
+        for i, c in enumerate(s):
+            steps, miss, _ = self.states[at]
+            if c not in steps:
+                return total + miss - (len(s) - i) * math.log2(len(ALPHABET) + 1)
+            own, at = steps[c]
+            total += own
+        return total + self.states[at][2]
 
 
 class Background:
-    """Symbol bigrams of ordinary tokens."""
+    """Pairs of characters of all texts, 0 for whatever no candidate has; rare pairs lean on single characters. Or runs of one character."""
 
-    def __init__(self, samples: list[str]) -> None:
-        self.pairs, self.firsts = Counter(), Counter()
-        for s in samples:
-            seq = "^" + "".join(map(symbol, s[: 4 * MAX_SYMBOLS]))
-            self.pairs.update(zip(seq, seq[1:]))
-            self.firsts.update(seq[:-1])
+    LEAN, SAME = 2.0, 0.9
+
+    def __init__(self, counts: np.ndarray) -> None:
+        single = counts.sum(0) + 0.5
+        single /= single.sum()
+        self.logp = np.log2((counts + self.LEAN * single) / (counts.sum(1, keepdims=True) + self.LEAN))
 
     def bits(self, s: str) -> float:
-        seq, k = "^" + "".join(map(symbol, s)), len(CLASS_SIZE) + 6
-        return sum(math.log2((self.pairs[a, b] + 0.5) / (self.firsts[a] + 0.5 * k) / CLASS_SIZE.get(b, 1)) for a, b in zip(seq, seq[1:])) / max(1, len(s))
+        at = np.concatenate([[0], _place[np.frombuffer(s.encode("ascii"), np.uint8)], [0]])
+        same = int((at[1:] == at[:-1]).sum())
+        runs = same * math.log2(self.SAME) + (len(at) - 1 - same) * math.log2((1 - self.SAME) / len(ALPHABET))
+        return max(float(self.logp[at[:-1], at[1:]].sum()), runs)
+
+
+def _pairs(text: bytes, out: np.ndarray) -> None:
+    """Add the text's character pairs to out; bytes above 127 count as other characters."""
+    for i in range(0, len(text) + 1, 1 << 20):
+        a = np.frombuffer(text[i : i + (1 << 20) + 1], np.uint8)
+        at = np.where(a < 128, _place[a & 127], 0)
+        if not i:
+            at = np.append(0, at)
+        if i + (1 << 20) + 1 > len(text):
+            at = np.append(at, 0)
+        out += np.bincount(at[:-1] * out.shape[1] + at[1:], minlength=out.size).reshape(out.shape)
 
 
 def labelled(docs: DataFrame, text: str = "text", most: int = MAX_TRAIN) -> DataFrame:
-    """Strings that the base patterns label with their kind, and other long tokens labelled as background.
+    """Strings that the base patterns label with their kind, and the counts of character pairs (kind "pair", h the pair, n the count).
 
-    A task keeps the ``most`` different ones with the least hashes for each label; those with the least of all are
-    among them, whatever the partitions are.
+    A task keeps the ``most`` different strings with the least hashes for each label; those with the least of all are
+    among them, whatever the partitions are. Pairs are counted over all texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = defaultdict(set)
+        pairs = np.zeros((len(ALPHABET) + 1, len(ALPHABET) + 1), np.int64)
 
         def keep(kind: str, s: str) -> None:
+            if len(s) > MAX_LENGTH:
+                return
             own = found[kind]
-            own.add((xxhash.xxh64_intdigest(s[:512].encode()) - (1 << 63), s[:512]))
+            own.add((xxhash.xxh64_intdigest(s.encode()) - (1 << 63), s))
             if len(own) > 8 * most:
                 found[kind] = set(heapq.nsmallest(most, own))
 
         for batch in batches:
             for t in strings(batch, text):
-                spans = base_spans(t)
-                for a, k, b in spans:
+                _pairs(t.encode("utf-8", "surrogatepass"), pairs)
+                for a, k, b in base_spans(t):
                     keep(KINDS[k], ASSIGN.match(t, a)[2] if k == 0 else t[a:b])
-                for m in CANDIDATE.finditer(t):
-                    if not any(a < m.end() and m.start() < b for a, _, b in spans):
-                        keep("other", m[0])
-        rows = [(k, *x) for k, own in found.items() for x in heapq.nsmallest(most, own)]
-        yield pa.record_batch({"kind": pa.array([r[0] for r in rows], pa.string()), "h": pa.array([r[1] for r in rows], pa.int64()), "s": pa.array([r[2] for r in rows], pa.string())})
+        rows = [(k, *x, 0) for k, own in found.items() for x in heapq.nsmallest(most, own)]
+        rows += [("pair", int(i), "", int(pairs.flat[i])) for i in np.flatnonzero(pairs)]
+        yield pa.record_batch({c: pa.array([r[i] for r in rows], kind) for i, (c, kind) in enumerate({"kind": pa.string(), "h": pa.int64(), "s": pa.string(), "n": pa.int64()}.items())})
 
-    return docs.select(text).mapInArrow(run, "kind string, h long, s string")
+    return docs.select(text).mapInArrow(run, "kind string, h long, s string, n long")
 
 
 def fit(docs: DataFrame, text: str = "text", most: int = MAX_TRAIN) -> dict:
-    """An automaton for each kind and the background, from at most ``most`` labelled strings of each, taken by hash.
+    """An automaton for each kind and made format, from at most ``most`` labelled strings of each, taken by hash, and the background.
 
-    The texts are read once; what their tasks keep is written, and its least strings are taken from there.
+    The texts are read once; what their tasks keep is written, and its least strings and sums are taken from there.
     """
-    kinds = [*KINDS[:3], "other"]
     rows = cut(labelled(docs, text, most), "labelled")
-    samples = _least(rows.distinct(), kinds, most)
+    samples = _least(rows.where("kind <> 'pair'").select("kind", "h", "s").distinct(), list(KINDS[:3]), most)
+    counts = np.zeros((len(ALPHABET) + 1) ** 2)
+    for r in rows.where("kind = 'pair'").groupBy("h").agg(F.sum("n").alias("n")).collect():
+        counts[r["h"]] = r["n"]
     discard(rows)
-    return {"automata": [Automaton(samples[k]) for k in kinds[:3] if len(samples[k]) >= 10], "background": Background(samples["other"])}
+    learned = [Automaton(samples[k]) for k in KINDS[:3] if len(samples[k]) >= 10]
+    return {"automata": learned + _format_automata(most), "background": Background(counts.reshape(len(ALPHABET) + 1, -1))}
 
 
 def _least(rows: DataFrame, kinds: list[str], most: int) -> dict[str, list[str]]:
@@ -225,19 +275,17 @@ def _least(rows: DataFrame, kinds: list[str], most: int) -> dict[str, list[str]]
     return out
 
 
+def likelihood_gain(s: str, model: dict) -> float:
+    """Bits a character by which the best format beats the background."""
+    return (max(a.bits(s) for a in model["automata"]) - model["background"].bits(s)) / max(1, len(s))
+
+
 def spans_of(text: str, model: dict | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and all spans, by start, then kind as listed."""
     base = sorted(base_spans(text))
     extra = []
     if model and model["automata"]:
-        for m in CANDIDATE.finditer(text):
-            s = m[0]
-            if s.isalpha() and (s.islower() or s.istitle()) or any(a < m.end() and m.start() < b for a, _, b in base):
-                continue
-            if not any(c.isdigit() for c in s):
-                continue
-            if max(a.bits(s) for a in model["automata"]) > model["background"].bits(s) + MARGIN:
-                extra.append((m.start(), 3, m.end()))
+        extra = [(m.start(), 3, m.end()) for m in CANDIDATE.finditer(text) if likelihood_gain(m[0], model) > MARGIN]
     return base, sorted(base + extra)
 
 

@@ -255,12 +255,68 @@ def test_secrets(docs, empty, spark):
     assert secrets.scan(docs).count() == len(corpus()) and secrets.scan(empty).count() == 0
 
 
-def test_grammar_finds_an_unlabelled_secret():
+def _credential(rng, parts):
+    return "".join(x if isinstance(x, str) else "".join(rng.choices(x[0], k=x[1])) for x in parts)
+
+
+def _background(texts):
+    pairs = np.zeros((len(secrets.ALPHABET) + 1,) * 2, np.int64)
+    for t in texts:
+        secrets._pairs(t.encode(), pairs)
+    return secrets.Background(pairs)
+
+
+def test_pairs_of_long_texts_and_automaton_likelihood():
+    rng = random.Random(1)
+    t = "".join(rng.choices("ab /é", k=300_000)) * 5
+    pairs = np.zeros((len(secrets.ALPHABET) + 1,) * 2, np.int64)
+    secrets._pairs(t.encode(), pairs)
+    at = [0, *(secrets.ALPHABET.find(chr(c)) + 1 if c < 128 else 0 for c in t.encode()), 0]
+    want = collections.Counter(zip(at, at[1:]))
+    assert {(i, j): int(pairs[i, j]) for i, j in zip(*np.nonzero(pairs))} == want
+    # probabilities of all strings of a small automaton don't exceed 1
+    a = secrets.Automaton(["ab", "aab", "b"] * 50)
+    total = sum(2 ** a.bits("".join(x)) for n in range(7) for x in __import__("itertools").product("ab", repeat=n))
+    assert 0.9 < total <= 1
+
+
+def test_grammar_finds_formats_that_it_has_not_learned():
+    """Recall of each format by the automata of the others, and ordinary tokens."""
     rng = random.Random(2)
-    key = lambda n: "".join(rng.choices("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=n))
-    model = {"automata": [secrets.Automaton([key(32) for _ in range(300)])], "background": secrets.Background(["internationalisation-and-more", "https.example.org/some/page", "well-known-long-words-here"] * 50)}
-    t = f"look at {key(32)} now and at counterrevolutionaries-and-others"
-    assert [k for _, k, _ in secrets.spans_of(t, model)[1]] == [3]
+    words = ["of", "the", "and", "internationalisation", "and-more", "well-known", "report_of_sums", "counterrevolutionaries", "example", "mail", "long.words", "v1.2.3", "2024"]
+    background = _background([" ".join(rng.choices(words, k=300)) for _ in range(50)])
+    automata = dict(zip(secrets.FORMATS, secrets._format_automata(secrets.MAX_TRAIN)))
+    for name, parts in secrets.FORMATS.items():
+        keys = [_credential(rng, parts) for _ in range(200)]
+        for own, least in ((automata.values(), 0.99), ([a for k, a in automata.items() if k != name], 0.9)):
+            found = sum(secrets.likelihood_gain(k, {"automata": list(own), "background": background}) > secrets.MARGIN for k in keys)
+            assert found >= least * len(keys), (name, least, found)
+    model = {"automata": list(automata.values()), "background": background}
+    plain = ["-".join(rng.choices(words, k=4)) for _ in range(500)]
+    assert sum(secrets.likelihood_gain(w, model) > secrets.MARGIN for w in plain) <= 5
+
+
+def test_secret_query_returns_format_spans(spark, tmp_path):
+    """Unlabelled keys among prose: the registered query finds them, letters alone included, and every repeat of them."""
+    from recallgrid.llm import queries
+
+    rng = random.Random(3)
+    words = ["".join(rng.choices(["an", "the", "re", "ti", "on", "es", "ing", "or"], k=rng.randint(1, 4))) for _ in range(500)]
+    prose = lambda n: " ".join(rng.choices(words, k=n)) + " " + "=" * 30
+    rows, want = [], {}
+    for i in range(120):
+        before, key = prose(100), _credential(rng, list(secrets.FORMATS.values())[i % len(secrets.FORMATS)]) if i % 4 else "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=32))
+        planted = i % 3 == 0
+        rows.append((i, before + (" " + key if planted else "") + " " + prose(100), "x"))
+        want[i] = (len(before) + 1, len(before) + 1 + len(key)) if planted else None
+    rows += [rows[0], (200, None, "x"), (201, " \n", "x"), (202, ("plain words " * 100_000) + rows[0][1], "x")]
+    want |= {200: None, 201: None, 202: tuple(1_200_000 + x for x in want[0])}
+    spark.createDataFrame(rows, "doc_id long, text string, spans string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = queries.op5_secret_scan(spark, f"file://{tmp_path}").collect()
+    found = {r["doc_id"]: [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("format:")] for r in got}
+    planted = [i for i, x in want.items() if x]
+    assert len(got) == len(rows) and sum(found[i] == [want[i]] for i in planted) >= 0.9 * len(planted)
+    assert all(not found[i] for i, x in want.items() if not x)
 
 
 def test_token_histogram(docs, empty, spark):
