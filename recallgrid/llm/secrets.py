@@ -4,7 +4,7 @@ Labelled credentials make a prefix tree for each format; compatible states are m
 1994) into a probabilistic automaton. Labelled are the strings that the base patterns find in the corpus, by kind, and
 strings made by the rules of ``FORMATS``. Every token of a text with ``LEAST`` characters or more is a candidate, whatever
 it is made of and whatever base span it lies in: its likelihood under the best automaton is held against that under a
-background of character pairs, which are counted over all texts, and a token that a format explains better by
+background of character pairs, which are counted over all texts (without their long runs of letters and digits), and a token that a format explains better by
 ``MARGIN`` bits a character is a span of its own.
 
 Null, empty and blank texts have no spans, an empty table gives an empty result; texts of any length are read whole and
@@ -35,7 +35,7 @@ from .common import cut, discard, strings
 MAX_TRAIN, MAX_LENGTH = 600, 512
 ALPHA = 0.05
 #: Bits a character by which a format must beat the background.
-MARGIN = 1.0
+MARGIN = 1.5
 LEAST = 20
 
 _upper, _lower, _digit = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -204,16 +204,25 @@ class Background:
         return max(float(self.logp[at[:-1], at[1:]].sum()), runs)
 
 
+_OTHER = re.compile(rb"[^A-Za-z0-9+/_.=-]")
+
+
 def _pairs(text: bytes, out: np.ndarray) -> None:
-    """Add the text's character pairs to out; bytes above 127 count as other characters."""
-    for i in range(0, len(text) + 1, 1 << 20):
-        a = np.frombuffer(text[i : i + (1 << 20) + 1], np.uint8)
-        at = np.where(a < 128, _place[a & 127], 0)
-        if not i:
-            at = np.append(0, at)
-        if i + (1 << 20) + 1 > len(text):
-            at = np.append(at, 0)
+    """Add the text's character pairs to out; bytes above 127 count as other characters.
+
+    So do runs of ``LEAST`` letters and digits or more: they are what is judged, and keys must not vouch for themselves.
+    """
+    i = 0
+    while i < len(text):
+        m = _OTHER.search(text, i + (1 << 20))  # pieces end between tokens
+        to = m.start() if m else len(text)
+        a = np.frombuffer(text[i:to], np.uint8)
+        at = np.concatenate([[0], np.where(a < 128, _place[a & 127], 0), [0]])
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], ((at > 0) & (at <= 62)).astype(np.int8), [0]])))
+        for x, y in edge.reshape(-1, 2)[np.diff(edge.reshape(-1, 2)).ravel() >= LEAST]:
+            at[x:y] = 0
         out += np.bincount(at[:-1] * out.shape[1] + at[1:], minlength=out.size).reshape(out.shape)
+        i = to
 
 
 def labelled(docs: DataFrame, text: str = "text", most: int = MAX_TRAIN) -> DataFrame:
