@@ -375,6 +375,61 @@ def test_html(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
+def _paragraphs(rng, n, words=40):
+    return [" ".join(rng.choices(["river", "stone", "of", "the", "light", "and", "over", "small", "words", "it"], k=words)) + "." for _ in range(n)]
+
+
+def _templates(rng):
+    """Pages of many designs, each with the lines of its article, which the design puts in place without looking at them."""
+    p = _paragraphs(rng, 6)
+    h, noise = "A heading of the day", _paragraphs(rng, 8, 25)
+    wrap = lambda items, tag="p": "".join(f"<{tag}>{x}</{tag}>" for x in items)
+    ads = "".join(f"<div class='ad-slot'>{x}</div>" for x in noise[:3])
+    comments = wrap(noise[:5])
+    menu = "<nav><ul><li>Home</li><li>News</li></ul></nav>"
+    yield "article header", f"<body><header>{noise[0]}</header><article><header><h1>{h}</h1></header>{wrap(p)}<footer>{noise[1]}</footer></article></body>", [h, *p]
+    yield "parted by adverts", f"<body>{menu}<div id='w'><div class='story'>{wrap(p[:3])}</div>{ads}<div class='story'>{wrap(p[3:])}</div></div></body>", p
+    yield "harmless class", f"<body>{menu}<div class='side-by-side'><h1>{h}</h1>{wrap(p)}</div><div class='footer'>{noise[0]}</div></body>", [h, *p]
+    yield "class of most text", f"<body><div class='page with-sidebar'><div class='sidebar'>{noise[0]}</div><div class='text'>{wrap(p)}</div></div></body>", p
+    yield "discussion", f"<body><main><h1>{h}</h1>{wrap(p)}</main><section class='discussion'>{comments}</section></body>", [h, *p]
+    yield "comments within", f"<body><article><h1>{h}</h1>{wrap(p)}<div id='comments'><article class='comment'>{comments}</article></div></article></body>", [h, *p]
+    yield "inline advert", f"<body><article><p>{p[0]} <span class='ad'>Buy <b>this</b> now</span></p>{wrap(p[1:])}</article></body>", p
+    yield "tables", f"<table><tr><td class='menu'>{wrap(noise[:1])}</td><td>{wrap(p)}</td></tr></table>", p
+    yield "bare text and breaks", f"<body><div>{p[0]}<br>{p[1]}<hr>{p[2]}</div><form>{noise[0]}</form></body>", [p[0] + " " + p[1], p[2]]
+    yield "lists and quotes", f"<body><article><h2>{h}</h2><ul>{wrap(p[:2], 'li')}</ul><blockquote>{p[2]}</blockquote></article><aside>{wrap(noise)}</aside></body>", [h, *p[:3]]
+    yield "large comments", f"<body><article><p>{p[0]}</p><p>Short end.</p></article><div class='comment-list'>{comments * 4}</div></body>", [p[0], "Short end."]
+    yield "large advert, short article", f"<body><div class='ad'>{noise[0] * 3}</div><article><h1>{h}</h1></article></body>", [h]
+    yield "scripts and entities", f"<body><script>var x = '<p>{noise[0]}</p>'</script><style>p {{}}</style><article><p>a &lt; b &amp;&#32; c {p[0]}</p></article><noscript>{noise[1]}</noscript></body>", ["a < b & c " + p[0]]
+    yield "sibling sections", f"<body><div id='w'><section><h1>{h}</h1><p>A short lead.</p></section><section>{wrap(p)}</section><section><p>The end.</p></section></div></body>", [h, "A short lead.", *p, "The end."]
+    yield "legal and search words", f"<body><div class='legal-analysis'>{wrap(p)}</div><div class='legal'>{noise[0]}</div><div class='search-box'>{noise[1]}</div></body>", p
+
+
+def test_html_templates():
+    for seed in range(3):
+        for name, page, want in _templates(random.Random(seed)):
+            assert html.main_text(page) == "\n".join(want), name
+
+
+def test_html_deep_long_broken_and_odd_pages(spark):
+    import time
+
+    body = "text of some length here " * 5
+    for n in (2_000, 20_000):
+        began = time.time()
+        assert html.main_text("<div>" * n + body + "</div>" * n) == body.strip()
+        for page in ("<div>x" * n, "<p>" * n + "</q>" * n, "<script>" * n, "<a title='" * n, "<b class=ad>" * n + "x" + "</i>" * n, "</p" * n):
+            html.main_text(page)
+        assert time.time() - began < 20
+    long = "".join(f"<p>{x}</p>" for x in _paragraphs(random.Random(1), 40_000))
+    assert len(html.main_text(f"<article>{long}</article>")) == len(long) - 7 * 40_000 + 39_999
+    page = f"<article><p>{body}</p></article>"
+    rows = [(1, "u", page, "t", 5), (1, "u", page, "t", 5), (None, None, page, None, None), (2, "u", " \n", "t", 5)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
+    got = sorted((r["page_id"] or 0, r["text"]) for r in html.extract(d).collect())
+    assert got == [(0, body.strip()), (1, body.strip()), (1, body.strip()), (2, "")]
+    assert html.extract(d.limit(0)).count() == 0
+
+
 def test_decontamination(spark, empty):
     rng = random.Random(9)
     items = [(i, text(rng, 40, 3000) + ". " + text(rng, 6, 3000) + ".") for i in range(12)] + [(20, None), (21, "")]
