@@ -9,8 +9,11 @@ item's words, or ``PARAPHRASE`` of them while the text around the passage holds
 
 No passage that verification would convict is lost by the retrieval: where a passage has m of an item's words, their
 product is at least the sum of the m least squared IDFs of the item, which is the threshold, less a bound of what the
-projection drops. A benchmark is searched in parts of ``RANK`` items, so that little is dropped. Null and empty texts
-match nothing; an empty benchmark matches nothing. One row per document row and item.
+projection drops. A benchmark is searched in parts of ``RANK`` items, so that little is dropped; as nothing that convicts
+is lost, the result is the same whatever the parts. Null, empty and blank texts match nothing; an empty table of
+documents or items gives an empty result. Texts of any length are read whole. One row per document row and item, so
+repeated rows have one each; of several passages with an item the first that convicts is told. Columns other than
+doc_id, text and the item's key are not looked at.
 """
 
 from __future__ import annotations
@@ -112,8 +115,8 @@ def randomised_svd(benchmark: DataFrame, idf: np.ndarray, place: np.ndarray, wid
     return q
 
 
-def lcs(item: list, text: list) -> tuple[int, int, int]:
-    """Length of the longest common subsequence, and the first and last place of one in text; bit-parallel by item."""
+def lcs(item: list, text: list) -> int:
+    """Length of the longest common subsequence; bit-parallel by item."""
     masks: dict = {}
     for i, w in enumerate(item):
         masks[w] = masks.get(w, 0) | 1 << i
@@ -123,7 +126,7 @@ def lcs(item: list, text: list) -> tuple[int, int, int]:
         m = masks.get(w, 0)
         u = v & m
         v = ((v + u) | (v - u)) & full
-    return len(item) - v.bit_count(), 0, len(text)
+    return len(item) - v.bit_count()
 
 
 def _answer(text: str) -> str:
@@ -219,13 +222,13 @@ class Matcher:
         best, reach = 0, _reach(own)
         for i, w in enumerate(near):
             if w in counts and _shared(counts, stretch := near[i : i + reach]) >= max(need, best + 1):
-                best = max(best, lcs(own, stretch)[0])
+                best = max(best, lcs(own, stretch))
                 if best == len(own):
                     break
         share = best / len(own)
         if share >= EXACT:
             return share
-        if share >= PARAPHRASE and answer and lcs(answer, near)[0] == len(answer):
+        if share >= PARAPHRASE and answer and lcs(answer, near) == len(answer):
             return share
         return None
 

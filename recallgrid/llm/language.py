@@ -1,7 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Nulls and texts without a letter get ``und`` with score 0, as does every text where nothing could be learned.
-Ties go to the alphabetically first language. Repeated rows are predicted alike.
+Nulls and texts without a letter get ``und`` with score 0, as does every text where nothing could be learned, an empty
+label table included. Ties go to the alphabetically first language. Texts of any length are read whole; repeated rows
+are predicted alike and all stay. An empty table gives an empty result. Other columns are kept; those that have the
+result's names are replaced.
 """
 
 from __future__ import annotations
@@ -13,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups_of
+from .common import cut, groups_of
 
 #: Labelled rows per language that the model is fitted on (in expectation; by a hash of the row, all if there are fewer).
 MAX_TRAIN_DOCS = 10_000
 BITS = 16
 ORDERS = (1, 2, 3)
-#: Most bytes of the broadcast matrix: with more languages the buckets get fewer.
+#: Most bytes of a broadcast matrix: more languages are scored in several passes, with the same result.
 MATRIX_BYTES = 256 << 20
 UNKNOWN = "und"
 _table: np.ndarray | None = None
@@ -82,14 +84,12 @@ def _counter(languages: list[str], bits: int) -> Callable:
 
 
 def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", max_docs: int = MAX_TRAIN_DOCS) -> dict:
-    """Languages and the log-probability matrix (languages x buckets) from rows that have both columns."""
+    """Languages, and the log-probability matrix (languages x buckets) with the priors in parts of MATRIX_BYTES, from rows that have both columns."""
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     bits = BITS
-    while bits > 8 and len(languages) * 8 << bits > MATRIX_BYTES:
-        bits -= 1
-    model = {"languages": languages, "bits": bits, "logp": np.zeros((len(languages), (1 << bits) + 1)), "prior": np.zeros(len(languages))}
+    model = {"languages": languages, "bits": bits, "parts": []}
     if not languages:
         return model
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, max_docs / sizes[k]))])
@@ -97,48 +97,84 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str =
     expected = sum(min(max_docs, n) for n in sizes.values())
     took = took.select("lang", "text").repartition(max(1, min(64, expected // 4000)))
     counted = took.mapInArrow(_counter(languages, bits), "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n"))
-    got = counted.toPandas()
-    counts = np.zeros((len(languages), 1 << bits))
-    counts[got["k"], got["bucket"]] = got["n"]
-    model["logp"][:, :-1] = np.log((counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * (1 << bits)))
     n = np.array([sizes[x] for x in languages], float)
-    model["prior"] = np.log(n / n.sum())
+    prior = np.log(n / n.sum())
+    wide = 1 << bits
+    each = max(1, MATRIX_BYTES // (8 * (wide + 1)))
+    counted = cut(counted, "counts") if len(languages) > each else counted
+    for first in range(0, len(languages), each):
+        own = prior[first : first + each]
+        got = counted.where(F.col("k").between(first, first + len(own) - 1)).toPandas()
+        counts = np.zeros((len(own), wide))
+        counts[got["k"] - first, got["bucket"]] = got["n"]
+        logp = np.zeros((len(own), wide + 1))
+        logp[:, :-1] = np.log((counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * wide))
+        model["parts"].append({"first": first, "logp": logp, "prior": own})
     return model
 
 
-def score_texts(texts: list[str], model: dict) -> tuple[list[str], np.ndarray]:
-    """Best language and its posterior probability for each text."""
-    langs, logp = model["languages"], model["logp"]
-    best, prob = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-    known = np.zeros(len(texts), bool)
-    if langs:
-        for i, j in groups_of([len(x) for x in texts]):
-            orders, first, letter = ngram_buckets(texts[i:j], model["bits"])
-            total = np.tile(model["prior"], (j - i, 1))
-            for idx in orders:
-                at = np.minimum(first, len(idx) - 1)
-                for k in range(len(langs)):
-                    part = np.add.reduceat(logp[k][idx], at)
-                    total[:, k] += np.where(first < len(idx), part, 0)
-            total -= total.max(1, keepdims=True)
-            p = np.exp(total)
-            p /= p.sum(1, keepdims=True)
-            best[i:j], prob[i:j], known[i:j] = p.argmax(1), p.max(1), letter
-    return [langs[b] if k else UNKNOWN for b, k in zip(best, known)], np.where(known, np.minimum(prob, 1.0), 0.0)
+#: Until a part is scored: the best language's place, its log-likelihood, and the logarithm of the sum over all languages.
+START = (-1, -np.inf, -np.inf)
 
 
-def predict(docs: DataFrame, model: dict, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """docs with the prediction for each whole text; only the text is looked at. The model is broadcast: at most MATRIX_BYTES."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text)
+def score_part(texts: list[str], part: dict, bits: int, state: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Update the state of each text, in place, by a part's languages; returns which texts have a letter."""
+    place, best, total = state
+    known = np.zeros(len(texts), bool)
+    for i, j in groups_of([len(x) for x in texts]):
+        orders, first, known[i:j] = ngram_buckets(texts[i:j], bits)
+        own = np.tile(part["prior"], (j - i, 1))
+        for idx in orders:
+            at = np.minimum(first, len(idx) - 1)
+            for k, logp in enumerate(part["logp"]):
+                own[:, k] += np.where(first < len(idx), np.add.reduceat(logp[idx], at), 0)
+        top = own.argmax(1)
+        value = own[np.arange(j - i), top]
+        better = value > best[i:j]
+        place[i:j] = np.where(better, part["first"] + top, place[i:j])
+        best[i:j] = np.where(better, value, best[i:j])
+        total[i:j] = np.logaddexp(total[i:j], value + np.log(np.exp(own - value[:, None]).sum(1)))
+    return known
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang, prob = score_texts([x or "" for x in batch.column(at).to_pylist()], sent.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(prob, pa.float64())], names=[*batch.schema.names, *names])
 
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{names[0]}` string", f"`{names[1]}` double"])
-    return docs.mapInArrow(run, ddl)
+def predict(docs: DataFrame, model: dict, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the prediction for each whole text; only the text is looked at. A part of the model is broadcast: at most MATRIX_BYTES."""
+    spark = docs.sparkSession
+    languages, bits, parts = model["languages"], model["bits"], model["parts"]
+    docs = docs.drop(*names)
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
+    at, n = docs.columns.index(text), len(docs.columns)
+    mark = "_"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    state_ddl = ", ".join([*kept, f"`{mark}0` long, `{mark}1` double, `{mark}2` double"])
+    ddl = ", ".join([*kept, f"`{names[0]}` string", f"`{names[1]}` double"])
+    if not parts:
+        return docs.select("*", F.lit(UNKNOWN).alias(names[0]), F.lit(0.0).alias(names[1]))
+    for number, part in enumerate(parts):
+        sent = spark.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, number=number) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = [x or "" for x in batch.column(at).to_pylist()]
+                if number:
+                    state = tuple(batch.column(n + i).to_numpy().copy() for i in range(3))
+                else:
+                    state = tuple(np.full(len(texts), x) for x in START)
+                known = score_part(texts, sent.value, bits, state)
+                if number + 1 < len(parts):
+                    more, titles = [pa.array(x) for x in state], [f"{mark}{i}" for i in range(3)]
+                else:
+                    prob = np.where(known, np.minimum(np.exp(state[1] - state[2]), 1.0), 0.0)
+                    more = [pa.array([languages[k] if ok else UNKNOWN for k, ok in zip(state[0], known)], pa.string()), pa.array(prob, pa.float64())]
+                    titles = list(names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *more], names=[*batch.schema.names[:n], *titles])
+
+        last = number + 1 == len(parts)
+        docs = docs.mapInArrow(run, ddl if last else state_ddl)
+        if not last:
+            docs = cut(docs, "scored")
+    return docs
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

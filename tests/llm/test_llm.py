@@ -64,6 +64,42 @@ def test_language_held_out_and_edges(spark, empty):
     assert language.predict(empty, language.fit(empty)).count() == 0
 
 
+def brute_language(rows, texts):
+    """Naive Bayes by plain loops over hashed n-grams; rows: (text, language)."""
+    grams = lambda t: [b for idx in language.ngram_buckets([t], language.BITS)[0] for b in idx.tolist() if b < 1 << language.BITS]
+    counts, sizes = collections.defaultdict(collections.Counter), collections.Counter()
+    for t, lang in rows:
+        counts[lang].update(grams(t))
+        sizes[lang] += 1
+    out = []
+    for t in texts:
+        if not any(c.isalpha() for c in t):
+            out.append(("und", 0.0))
+            continue
+        total = {k: np.log(sizes[k] / len(rows)) + sum(np.log((counts[k][b] + 0.5) / (counts[k].total() + 0.5 * (1 << language.BITS))) for b in grams(t)) for k in sorted(counts)}
+        best = max(total, key=lambda k: (total[k], [-ord(c) for c in k]))
+        out.append((best, 1 / sum(np.exp(x - total[best]) for x in total.values())))
+    return out
+
+
+@pytest.mark.parametrize("most", [language.MATRIX_BYTES, 2 * 8 * ((1 << language.BITS) + 1)])
+def test_language_against_brute_force(spark, monkeypatch, most):
+    """Also in several passes; long, blank and repeated texts, ties, and columns with the result's names."""
+    monkeypatch.setattr(language, "MATRIX_BYTES", most)
+    rng = random.Random(6)
+    alphabets = {"aa": "abcde", "bb": "abcfg", "cc": "abhij", "dd": "éèüñb", "ee": "xyz"}
+    rows = [(" ".join("".join(rng.choices(alphabets[k], k=4)) for _ in range(6)), k) for k in alphabets for _ in range(8)]
+    texts = [t for t, _ in rows[::3]] + ["abc", "b", "", " \n", "12", "ab " * 50_000, "zz\0z", "Ünb ABC", rows[0][0], rows[0][0], "日本"]
+    model = language.fit(spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(rows)], "doc_id long, text string, lang string"))
+    d = spark.createDataFrame([(i, t, "x", "y", 1.5) for i, t in enumerate(texts)], "doc_id long, text string, score string, lang_pred string, `0` double")
+    got = sorted(language.predict(d, model).collect())
+    assert [r["doc_id"] for r in got] == list(range(len(texts))) and all(r["0"] == 1.5 for r in got)
+    for r, (lang, score) in zip(got, brute_language(rows, texts)):
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=1e-6)
+    tie = language.fit(spark.createDataFrame([(0, "same words", "q"), (1, "same words", "p")], "doc_id long, text string, lang string"))
+    assert language.predict(d.limit(1), tie).first()["lang_pred"] == "p"
+
+
 def brute_components(rows, num, den, k):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
@@ -448,6 +484,26 @@ def test_decontamination(spark, empty):
     assert decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_paraphrases_with_answers(spark):
+    """Items reworded to 0.6 to 0.8 of their words are found where their answer stands by, and only there; edges."""
+    rng = random.Random(13)
+    items = [(i, text(rng, 34, 3000) + ". " + text(rng, 6, 3000) + ".") for i in range(60)]
+    rows = []
+    for i, t in items:
+        w = t.split()
+        for k in rng.sample(range(34), 12):  # 28 of 40 words stay, 0.7
+            w[k] = f"other{k}"
+        answer = w[34:] if i % 2 else [f"no{k}" for k in range(6)]
+        rows.append((i, text(rng, 80, 3000) + " " + " ".join(w[:34] + answer) + " " + text(rng, 80, 3000)))
+    long = text(rng, 30_000, 3000)
+    rows += [rows[1], (None, rows[1][1]), (700, long + " " + items[0][1] + " " + items[0][1]), (701, "  \n"), (702, None)]
+    d = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, text string, item_id int, share string")
+    b = spark.createDataFrame([(*r, 0.5) for r in [*items, items[0], (None, None), (90, " ")]], "item_id long, text string, passage double")
+    got = collections.Counter((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, b).collect())
+    want = collections.Counter([(i, i) for i in range(1, 60, 2)] + [(1, 1), (None, 1), (700, 0)])
+    assert sum((got & want).values()) >= 0.9 * sum(want.values()) and not got - want, (len(got), got - want, want - got)
+
+
 def test_decontamination_of_many_items(spark):
     """More segments than the SVD's rank: verbatim copies of all items are found."""
     rng = random.Random(10)
