@@ -95,12 +95,12 @@ def sign_runs(spark, d):
 
 @query("""
 with p as (select a.vec_id as p_id, b.vec_id as q_id, list_transform(generate_series(1, len(a.embedding)), lambda i: a.embedding[i]::double * b.embedding[i]::double) as v
-from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 where a.vec_id % 10 = 0)
+from embeddings a join embeddings b on b.vec_id = a.vec_id + 1)
 select p_id, q_id, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) as first_value, len(v)::bigint as dims from p""")
 def pattern_compose(spark, d):
     """Neighbouring patterns composed elementwise and normalised."""
     p = T.vectors(spark, d).select(F.col("memory_id").alias("id"), "embedding")
-    pairs = p.where("id % 10 = 0").select(F.col("id").alias("p_id"), (F.col("id") + 1).alias("q_id"))
+    pairs = p.select(F.col("id").alias("p_id"), (F.col("id") + 1).alias("q_id"))
     out = retrieval.pattern_compose(p, pairs)
     return out.select("p_id", "q_id", F.round(F.col("embedding")[0], 6).alias("first_value"), F.size("embedding").cast("long").alias("dims"))
 
@@ -134,18 +134,18 @@ def constraint_match(spark, d):
 
 @query("""
 with entries as (select p_name as key, min(p_partkey) as value from part group by 1),
-probes as (select distinct p_name as key from part where p_partkey % 3 = 0 union select 'absent ' || n_name from nation)
+probes as (select distinct p_name as key from part union select 'absent ' || n_name from nation)
 select key, value, value is not null as found, (value is not null)::int::double as confidence, case when value is null then 2 end as next_layer
 from probes left join entries using (key)""")
 def exact_lookup(spark, d):
     """Hits and misses of keys."""
     part = T.read(spark, d, "part")
-    probes = part.where("p_partkey % 3 = 0").select(F.col("p_name").alias("key")).union(T.read(spark, d, "nation").select(F.concat(F.lit("absent "), "n_name"))).distinct()
+    probes = part.select(F.col("p_name").alias("key")).union(T.read(spark, d, "nation").select(F.concat(F.lit("absent "), "n_name"))).distinct()
     return retrieval.exact_lookup(part.select(F.col("p_name").alias("key"), F.col("p_partkey").alias("value")), probes)
 
 
 @query("""
-with probes as (select distinct p_name as key from part where p_partkey % 3 = 0 union select 'absent ' || n_name from nation)
+with probes as (select distinct p_name as key from part union select 'absent ' || n_name from nation)
 select count(*) as probes, count(*) filter (where key in (select p_name from part)) as hits, round(count(*) filter (where key in (select p_name from part)) / count(*)::double, 6) as hit_rate from probes""")
 def hit_rate(spark, d):
     return metrics.hit_rate(exact_lookup(spark, d))
@@ -163,7 +163,7 @@ def text_search(spark, d):
 select doc_id + 1 as id from documents where contains(lower(text), 'the and') order by n_chars desc, doc_id limit 100""")
 def newest_containing(spark, d):
     """Whole-query containment, latest first; the length stands for the time."""
-    m = T.memories(spark, d).join(T.read(spark, d, "documents").select((F.col("doc_id") + 1).alias("id"), F.col("n_chars").alias("created_at")), "id")
+    m = T.read(spark, d, "documents").select((F.col("doc_id") + 1).alias("id"), F.col("text").alias("content"), F.col("n_chars").alias("created_at"))
     return retrieval.newest_containing(m, "The And", 100).select("id")
 
 
@@ -305,8 +305,7 @@ def co_access(spark, d):
 select pool, n, (hi - lo) as duration_us, round(count(*) filter (where memory_id = 5) / n::double, 6) as view_share from a join x using (pool) group by pool, n, hi, lo""")
 def context_features(spark, d):
     """Duration and the share of views in each pool's log."""
-    n = F.count("*")
-    return T.accesses(spark, d).groupBy("pool").agg(n.alias("n"), (F.max("ts_us") - F.min("ts_us")).alias("duration_us"), F.round(F.count_if(F.col("memory_id") == 5) / n, 6).alias("view_share"))
+    return sequences.context_features(T.accesses(spark, d), 5)
 
 
 # --- graph ---------------------------------------------------------------------------------------------------------
@@ -317,7 +316,8 @@ _STRONG = _EDGE + ", s as (select * from e where weight >= 0.5)"
 
 
 def _strong(spark, d) -> DataFrame:
-    return graph.usable_edges(T.associations(spark, d), least=0.5)
+    """Written once: a search joins them at every level."""
+    return written(graph.usable_edges(T.associations(spark, d), least=0.5))
 
 
 def _starts(spark, *ids: int) -> DataFrame:
@@ -363,33 +363,46 @@ def breadth_first(spark, d):
     return out.select("node", F.round("weight", 6).alias("weight"), "depth", "found", "rank")
 
 
-@query(f"""with {_STRONG}, x as (select to_id as node, weight as w, 1 as depth from s where from_id = 7
-union all select b.to_id, a.weight * b.weight, 2 from s a join s b on a.to_id = b.from_id where a.from_id = 7
-union all select c.to_id, a.weight * b.weight * c.weight, 3 from s a join s b on a.to_id = b.from_id join s c on b.to_id = c.from_id where a.from_id = 7),
-m as (select node, round(max(w), 6) as weight, min(depth) as depth from x where node <> 7 group by 1)
-select node, weight, depth, row_number() over (order by weight desc, node) as rank from m order by weight desc, node limit 30""")
+def _queue(start: int, depth: int, rounds: int, value: str, begin: int, name: str, order: str) -> str:
+    """Labels (value, depth) of a best-first search, derived anew in each round from those before; as many rounds as suffice for the tables."""
+    sql = f", l0 as (select {start}::bigint as node, {begin}::double as v, 0 as depth)"
+    for k in range(1, rounds + 1):
+        sql += f""", c{k} as materialized (select s.to_id as node, round({value}, 12) as v, l.depth + 1 as depth from l{k - 1} l join s on s.from_id = l.node where l.depth < {depth} and s.to_id <> {start}),
+l{k} as materialized (select * from l0 union all select node, v, depth from (select *, row_number() over (partition by node order by v {order}, depth) as r from c{k}) where r = 1)"""
+    return f"with {_STRONG}{sql} select node, round(v, 6) as {name}, depth, row_number() over (order by round(v, 6) {order}, node) as rank from l{rounds} where node <> {start} order by 2 {order}, 1 limit 30"
+
+
+@query(_queue(7, 3, 8, "l.v * s.weight", 1, "weight", "desc"))
 def best_first(spark, d):
-    """The 30 nodes with the best paths of up to three edges."""
+    """The 30 nodes that a queue by weight takes first, within three edges."""
     out = graph.best_first(_strong(spark, d), _starts(spark, 7), 3, 30, cut=written)
     return out.select("node", F.col("value").alias("weight"), "depth", "rank")
 
 
-@query()
+def _found(start: int, most: int) -> str:
+    """The first nodes that a breadth-first search of two levels finds from a start."""
+    return f"""(with l1 as (select to_id as node, weight, row_number() over (order by to_id) as turn from s where from_id = {start} and to_id <> {start}),
+c2 as (select s.to_id as node, l1.weight * s.weight as weight, l1.turn, row_number() over (partition by s.to_id order by l1.turn) as r from l1 join s on l1.node = s.from_id where s.to_id <> {start} and s.to_id not in (select node from l1)),
+f as (select node, weight, 1 as depth, turn from l1 union all select node, weight, 2, row_number() over (order by turn, node) from c2 where r = 1)
+select * from (select {start} as start_id, node, round(weight, 6) as weight, depth, row_number() over (order by depth, turn) as found from f) where found <= {most})"""
+
+
+@query(f"with {_STRONG}, u as ({' union all '.join(_found(n, 30) for n in (7, 8, 9))}) select * from (select start_id, node, weight, depth, row_number() over (order by weight desc, node, start_id) as rank from u) where rank <= 60")
 def multi_start_search(spark, d):
     """Per-source breadth-first search from three starts, merged without joining sources."""
     out = graph.search(_strong(spark, d), _starts(spark, 7, 8, 9), 2, 60, 3, cut=written)
     return out.select("start_id", "node", F.round("weight", 6).alias("weight"), "depth", "rank")
 
 
-@query("""with recursive e as (select s_suppkey as a, 100000 + s_nationkey as b from supplier where s_suppkey % 3 = 0 union all select 100000 + n_nationkey, 200000 + n_regionkey from nation where n_nationkey % 2 = 0),
+@query("""with recursive e as (select s_suppkey as a, 100000 + s_nationkey as b from supplier union all select 100000 + n_nationkey, 200000 + n_regionkey from nation),
 n as (select s_suppkey as id from supplier union select 100000 + n_nationkey from nation union select 200000 + r_regionkey from region),
 u as (select a, b from e union select b, a from e), r as (select id, id as c from n union select u.b, r.c from r join u on r.id = u.a)
 select id, min(c) as component from r group by 1""")
 def graph_components(spark, d):
-    """Weakly connected components of a forest of suppliers, nations and regions."""
+    """Weakly connected components of a forest of suppliers, nations and regions: one for each region."""
     s, n, r = (T.read(spark, d, t) for t in ("supplier", "nation", "region"))
     nation, region = (F.col("n_nationkey") + 100000).cast("long"), (F.col("n_regionkey") + 200000).cast("long")
-    edges = s.where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("from_id"), (F.col("s_nationkey") + 100000).cast("long").alias("to_id")).union(n.where("n_nationkey % 2 = 0").select(nation, region))
+    edges = s.select(F.col("s_suppkey").alias("from_id"), (F.col("s_nationkey") + 100000).cast("long").alias("to_id")).union(n.select(nation, region))
     nodes = s.select(F.col("s_suppkey").alias("id")).union(n.select(nation)).union(r.select((F.col("r_regionkey") + 200000).cast("long")))
     return graph.components(nodes, edges, written)
 
@@ -436,8 +449,8 @@ def keep_recent(spark, d):
 @query("select event_id from events where ts >= (select max(ts) from events) - interval 3600 second")
 def within_ttl(spark, d):
     e = T.read(spark, d, "events")
-    newest = str(e.agg(F.max("ts").cast("string")).first()[0])
-    return lifecycle.within_ttl(e.select("event_id", "ts"), newest, 3600, "ts").select("event_id")
+    e = e.select("event_id", "ts").join(F.broadcast(e.agg(F.max("ts").alias("newest"))), F.lit(True))
+    return lifecycle.within_ttl(e, F.col("newest"), 3600, "ts").select("event_id")
 
 
 @query("""with m as (select user_id as id, max(ts) as t, count(*) as n from events group by 1), x as (select *, (select max(epoch(ts)::bigint) from events) - floor(epoch(t))::bigint as age, max(n) over () as most from m)
@@ -451,9 +464,11 @@ def retention_scores(spark, d):
     return x.select("id", F.round(scores.retention(age, F.col("n"), F.col("most"), F.lit(0.0)), 6).alias("retention"))
 
 
-@query("select vec_id % 4 as pool, sum(4 * len(embedding))::bigint as bytes, count(*) as entries from embeddings group by 1")
+@query("select vec_id % 4 as pool, sum(4 * len(embedding) + strlen(coalesce(text, '')))::bigint as bytes, count(*) as entries from embeddings left join documents on doc_id = vec_id group by 1")
 def memory_estimate(spark, d):
-    return T.vectors(spark, d).groupBy((F.col("memory_id") % 4).alias("pool")).agg(F.sum(4 * F.size("embedding")).alias("bytes"), F.count("*").alias("entries"))
+    """Bytes of vectors and contents."""
+    v = T.vectors(spark, d).join(T.read(spark, d, "documents").select(F.col("doc_id").alias("memory_id"), F.col("text").alias("content")), "memory_id", "left")
+    return lifecycle.memory_estimate(v.withColumn("pool", F.col("memory_id") % 4), "pool")
 
 
 # --- metrics -------------------------------------------------------------------------------------------------------
@@ -479,10 +494,13 @@ def moving_average(spark, d):
     return metrics.moving_average(T.read(spark, d, "events"), "user_id", ["ts", "event_id"], "value")
 
 
-@query("""select event_id, count(*) over (partition by user_id order by t range between 3600 preceding and current row) as in_window, count(*) over (partition by user_id order by t range between 3600 preceding and current row) > 3 as limited
-from (select event_id, user_id, floor(epoch(ts))::bigint as t from events)""")
+@query("""with recursive q as (select event_id, user_id, t, row_number() over (partition by user_id order by t, event_id) as k from (select event_id, user_id, floor(epoch(ts))::bigint as t from events)),
+f as (select user_id, k, event_id, 0::bigint as in_window, false as limited, [t] as admitted from q where k = 1
+union all select user_id, k, event_id, len(w), len(w) >= 3, case when len(w) >= 3 then w else list_append(w, t) end
+from (select q.*, list_filter(f.admitted, lambda x: x >= q.t - 3600) as w from f join q on q.user_id is not distinct from f.user_id and q.k = f.k + 1))
+select event_id, in_window, limited from f""")
 def rate_limited(spark, d):
-    """Requests over three an hour."""
+    """Three admitted requests an hour; refused ones don't count."""
     e = T.read(spark, d, "events").select("event_id", F.col("user_id").alias("client"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"))
     return metrics.rate_limited(e, 3, 3600).select("event_id", "in_window", "limited")
 
@@ -510,13 +528,17 @@ def _frames(spark, d) -> DataFrame:
 _FR = "fr as (select floor(epoch(ts) / 3600)::bigint as t, event_type as unit, sum(value) as value from events where value is not null group by 1, 2)"
 
 
-@query(f"""with {_FR}, b as (select t, sum(value) as total from fr group by 1), m as (select unit, sum(abs(value)) as mass, var_pop(value) as v from fr group by 1), x as (select sum(mass) as al, avg(v) as v from m),
-w as (select total, lag(total) over (order by t) as p, lead(total) over (order by t) as n, total > 0.3 * (select max(total) from b) as high, lag(total > 0.3 * (select max(total) from b)) over (order by t) as ph from b)
-select count(*) as frames, count(*) filter (where total > p and total > n and total > 0.1) as maxima, count(*) filter (where ph and not high) as bursts, round(avg(total), 6) as mean_total,
-(select round(sum(-mass / al * log2(mass / al)), 6) from m, x) as entropy, (select round(1 / (1 + v), 6) from x) as stability from w""")
+@query(f"""with {_FR}, b as (select t, sum(value) as total, row_number() over (order by t) as i from fr group by 1), n as (select count(*) as frames, max(total) as top from b),
+x as (select *, coalesce(total > lag(total) over (order by t), true) and coalesce(total > lead(total) over (order by t), true) and total > 0.1 as peak, total > 0.3 * top as high, lag(total > 0.3 * top) over (order by t) as before from b, n),
+h as (select b.t, -sum(case when value > 0 then value / total * log2(value / total) else 0 end) as entropy from fr join b using (t) group by 1),
+grid as (select u.unit, b.i, coalesce(fr.value, 0) as value from (select distinct unit from fr) u cross join b left join fr on fr.unit = u.unit and fr.t = b.t),
+u as (select unit, var_pop(value) as v, max(value) as most, min(i) filter (where value = m) as late from (select *, max(value) over (partition by unit) as m from grid) group by 1)
+select frames, (select count(*) from x where peak) as maxima, (select count(*) from x where before and not high) as bursts, (select round(avg(total), 6) from b) as mean_total, (select round(avg(entropy), 6) from h) as entropy,
+(select case when count(*) > 1 then round(1000 / ((max(i) - min(i)) / (count(*) - 1)::double * 3600000), 6) else 0 end from x where peak) as oscillation_hz,
+(select round(1 / (1 + avg(v)), 6) from u) as stability, (select round(count(*) / ((max(late) - min(late)) * 3600000)::double, 6) from u where most > 0) as propagation_speed from n""")
 def signal_features(spark, d):
-    """Entropy, stability, maxima and bursts of hourly activity by event type."""
-    return metrics.signal_features(_frames(spark, d))
+    """Entropy, stability, maxima, oscillation, bursts and propagation of hourly activity by event type."""
+    return metrics.signal_features(_frames(spark, d), 3_600_000.0)
 
 
 @query(f"""with {_FR}, s as (select unit, sqrt(sum(value * value)) as z from fr group by 1), p as (select a.unit as a, b.unit as b, sum(a.value * b.value) as dp from fr a join fr b on a.t = b.t and a.unit < b.unit group by 1, 2)
@@ -595,12 +617,22 @@ def fallback_route(spark, d):
     return router.fallback([a, b])
 
 
-@query("select event_id, case when event_id % 3 = 0 then 'health_check' when event_id % 3 = 1 then 'add_memory' else 'unknown' end as operation from events")
+#: Messages, and what the rules say that they ask for: (message, operation, layer), or nothing.
+_MESSAGES = [
+    ('{"status": "up"}', ("health_check", "health", "all")), ('{"content": "x", "id": 7}', ("memory_add", "add", "layer1")), ('{"content": null, "from_memory_id": 1, "to_memory_id": 2}', ("memory_add", "add", "layer1")),
+    ('{"from_memory_id": 1, "to_memory_id": 2}', ("association_add", "add", "layer3")), ('{"from_memory_id": 1}', ("memory_add", "add", "layer3")), ('{"association": {}, "query": "x"}', ("search_associative", "search", "layer3")),
+    ('{"operation": "Get_Memory", "content": "x"}', ("memory_get", "get", "layer3")), ('{"operation": "METRICS"}', ("performance", "metrics", "all")), ('{"operation": 5, "search": "x"}', ("search_associative", "search", "layer3")),
+    ('{"operation": "explode"}', None), ('{"id": 7}', ("memory_add", "add", "layer3")), ("{}", ("memory_add", "add", "layer3")), ("[1, 2]", None), ("not json", None), ('{"association": 1, "health": 2}', ("association_add", "add", "layer3")),
+]
+_ANSWERS = ", ".join(f"({i}, {', '.join(repr(x) for x in a) if a else 'null, null, null'})" for i, (_, a) in enumerate(_MESSAGES))
+
+
+@query(f"select event_id, message, operation, layer from events join (values {_ANSWERS}) v(i, message, operation, layer) on event_id % {len(_MESSAGES)} = i")
 def inferred_operations(spark, d):
     """What a JSON message asks for."""
     e = T.read(spark, d, "events")
-    m = F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct(F.col("event_type").alias("status")))).when(F.col("event_id") % 3 == 1, F.to_json(F.struct(F.col("event_type").alias("content"), F.col("event_id").alias("id")))).otherwise(F.col("props"))
-    return e.select("event_id", router.infer_operation(m).alias("operation"))
+    m = F.element_at(F.array(*[F.lit(x) for x, _ in _MESSAGES]), (F.col("event_id") % len(_MESSAGES) + 1).cast("int"))
+    return e.select("event_id", router.infer_operation(m).alias("a")).select("event_id", "a.message", "a.operation", "a.layer")
 
 
 # --- streaming -----------------------------------------------------------------------------------------------------
@@ -648,13 +680,9 @@ def edges_after_removal(spark, d):
     return graph.drop_nodes(parts, T.associations(spark, d), ends)[1].select("from_id", "to_id")
 
 
-@query(f"""with {_STRONG}, r as (select to_id as node, 1 - weight as cost, 1 as depth from s where from_id = 7
-union all select s.to_id, p.cost + 1 - s.weight, 2 from (select to_id as node, 1 - weight as cost from s where from_id = 7) p join s on s.from_id = p.node
-union all select t.to_id, p.cost + 1 - s.weight + 1 - t.weight, 3 from (select to_id as node, 1 - weight as cost from s where from_id = 7) p join s on s.from_id = p.node join s t on t.from_id = s.to_id),
-b as (select node, round(min(cost), 6) as cost, min(depth) as depth from r where node <> 7 group by 1)
-select * from (select node, cost, depth, row_number() over (order by cost, node) as rank from b) where rank <= 30""")
+@query(_queue(7, 3, 8, "l.v + (1 - s.weight)", 0, "cost", "asc"))
 def cheapest_paths(spark, d):
-    """The 30 nodes with the cheapest paths of up to three edges; an edge costs 1 - weight."""
+    """The 30 nodes that a queue by cost takes first, within three edges; an edge costs 1 - weight."""
     out = graph.best_first(_strong(spark, d), _starts(spark, 7), 3, 30, cost=True, cut=written)
     return out.select("node", F.col("value").alias("cost"), "depth", "rank")
 

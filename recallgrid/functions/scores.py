@@ -11,6 +11,11 @@ def query_key(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*columns)), 256)
 
 
+def checksum(payload: Column) -> Column:
+    """CRC-32 of a payload's bytes, unsigned."""
+    return F.crc32(payload.cast("binary"))
+
+
 def retention(age_seconds: Column, accesses: Column, most_accesses: Column, markov: Column) -> Column:
     """recency * frequency * (1 + markov)."""
     recency = 1 / (1 + age_seconds / 3600.0)

@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Deepest search that is allowed.
+from recallgrid.shared import running_total
+
+#: Deepest search that is allowed; deeper ones are refused.
 MAX_DEPTH = 10
 
 
+def _levels(max_depth: int) -> range:
+    if max_depth > MAX_DEPTH:
+        raise ValueError(f"a search goes {MAX_DEPTH} levels deep at most, not {max_depth}")
+    return range(max_depth)
+
+
 def usable_edges(edges: DataFrame, nodes: DataFrame | None = None, least: float = 0.1, types: list[str] | None = None, tags: list[str] | None = None) -> DataFrame:
     """Edges by weight, type and the target's tags; empty lists don't filter."""
     out = edges.where(F.col("weight") >= least)
@@ -26,8 +34,10 @@ def latest_edges(edges: DataFrame, order: str) -> DataFrame:
     return edges.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def neighbours(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    return edges.join(ids.select(F.col("id").alias("from_id")), "from_id", "left_semi")
+def neighbours(edges: DataFrame, ids: DataFrame, direction: str = "out") -> DataFrame:
+    """The nodes' edges out of them, or with "in" those into them."""
+    end = {"out": "from_id", "in": "to_id"}[direction]
+    return edges.join(ids.select(F.col("id").alias(end)), end, "left_semi")
 
 
 def _begin(starts: DataFrame) -> DataFrame:
@@ -37,7 +47,7 @@ def _begin(starts: DataFrame) -> DataFrame:
 def simple_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 3) -> DataFrame:
     """Depth-first semantics: a row for each simple path, its weight the product of its edges' weights."""
     level, out = _begin(starts), None
-    for _ in range(min(max_depth, MAX_DEPTH)):
+    for _ in _levels(max_depth):
         step = level.join(edges.select(F.col("from_id").alias("node"), F.col("to_id"), F.col("weight").alias("w")), "node").where(~F.array_contains("path", F.col("to_id")))
         level = step.select("query_id", "start_id", F.col("to_id").alias("node"), (F.col("weight") * F.col("w")).alias("weight"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("to_id")).alias("path"))
         out = level if out is None else out.unionAll(level)
@@ -48,56 +58,83 @@ def _group(per_source: bool) -> list[str]:
     return ["query_id", "start_id"] if per_source else ["query_id"]
 
 
-def breadth_first(edges: DataFrame, starts: DataFrame, max_depth: int = 3, max_results: int | None = None, per_source: bool = True, cut=lambda df: df) -> DataFrame:
+def breadth_first(edges: DataFrame, starts: DataFrame, max_depth: int = 3, max_results: int | None = None, per_source: bool = True, cut=None) -> DataFrame:
     """First visits level by level. Within a level nodes are found in order of their parent's turn, then of their id.
 
-    The first ``max_results`` found stay, then ``rank`` orders them by weight. cut: called on each level, to end its lineage.
+    The first ``max_results`` found stay, then ``rank`` orders them by weight. cut: called on each level, to end its
+    lineage; with one, a level's nodes are numbered in parts.
     """
     by = _group(per_source)
+    alone, cut = cut is None, cut or (lambda df: df)
+
+    def turns(df: DataFrame) -> DataFrame:
+        if alone:
+            return df.withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy("turn", "node")))
+        numbered = running_total(df.withColumnRenamed("turn", "_before"), by, ["_before", "node"], F.lit(1), "turn", cut)
+        return cut(numbered.drop("_before"))
+
     level = _begin(starts).withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy("start_id")))
     visited, out = level.select(*by, "node").distinct(), None
-    for _ in range(min(max_depth, MAX_DEPTH)):
+    for _ in _levels(max_depth):
         step = level.join(edges.select(F.col("from_id").alias("node"), F.col("to_id"), F.col("weight").alias("w")), "node")
         step = step.select("query_id", "start_id", F.col("to_id").alias("node"), (F.col("weight") * F.col("w")).alias("weight"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("to_id")).alias("path"), "turn")
         step = step.join(visited, [*by, "node"], "left_anti")
         first = F.row_number().over(Window.partitionBy(*by, "node").orderBy("turn"))
         new = step.withColumn("_r", first).where("_r = 1").drop("_r")
-        level = cut(new.withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy("turn", "node"))))
+        level = turns(new)
         visited = cut(visited.unionByName(level.select(*by, "node")))
         out = level if out is None else out.unionByName(level)
-    found = out.withColumn("found", F.row_number().over(Window.partitionBy(*by).orderBy("depth", "turn"))).drop("turn")
+    # a node's place is its turn behind all of the levels before its own
+    sizes = out.groupBy(*by, "depth").agg(F.max("turn").alias("_n"))
+    base = sizes.select(*by, "depth", F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    found = out.join(base, [*by, "depth"]).withColumn("found", (F.col("turn") + F.col("_base")).cast("int")).drop("turn", "_base")
     if max_results is not None:
         found = found.where(F.col("found") <= max_results)
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.round("weight", 6)), "node")))
 
 
 def best_first(edges: DataFrame, starts: DataFrame, max_depth: int = 3, max_results: int = 10, cost: bool = False, cut=lambda df: df) -> DataFrame:
-    """The best path to each node within max_depth edges, by greatest product of weights, or with cost by least sum of 1 - weight.
+    """Each node as a queue by priority first takes it, within max_depth edges: by greatest product of weights, or with cost by least sum of 1 - weight.
 
-    Relaxation keeps one row for each node and level, so work follows nodes and edges, not paths.
+    A node keeps the path by which it is taken first, and its neighbours go on from there: a worse but shorter path to
+    it doesn't carry them further. Labels (value, depth) are derived anew from those of the round before until they stay
+    the same; one row for each node and round, so work follows nodes and edges, not paths. Of equal values the shorter
+    path is taken, then the one by the smaller parent.
     """
-    value = lambda a, w: a + (1 - w) if cost else a * w
-    best: Column = F.min if cost else F.max
-    level = starts.select("query_id", F.col("start_id").alias("node"), F.lit(0.0 if cost else 1.0).alias("value"), F.lit(0).alias("depth")).distinct()
-    every = level
-    for _ in range(min(max_depth, MAX_DEPTH)):
-        step = level.join(edges.select(F.col("from_id").alias("node"), F.col("to_id"), F.col("weight").alias("w")), "node")
-        level = cut(step.groupBy("query_id", F.col("to_id").alias("node")).agg(best(value(F.col("value"), F.col("w"))).alias("value"), F.min(F.col("depth") + 1).alias("depth")))
-        every = every.unionByName(level)
-    top = every.groupBy("query_id", "node").agg(best("value").alias("value"), F.min("depth").alias("depth"))
-    top = top.join(starts.select("query_id", F.col("start_id").alias("node")), ["query_id", "node"], "left_anti").withColumn("value", F.round("value", 6))
+    _levels(max_depth)
+    sign = 1 if cost else -1
+    own = starts.select("query_id", F.col("start_id").alias("node")).distinct()
+    begin = own.select("query_id", "node", F.lit(0.0 if cost else -1.0).alias("key"), F.lit(0).alias("depth"))
+    label, before, now = cut(begin), None, ()
+    while now != before:
+        before = now
+        step = label.where(F.col("depth") < max_depth).join(edges.select(F.col("from_id").alias("node"), F.col("to_id"), F.col("weight").alias("w")), "node")
+        key = F.col("key") + (1 - F.col("w")) if cost else F.col("key") * F.col("w")
+        found = step.groupBy("query_id", "to_id").agg(F.min(F.struct(F.round(key, 12).alias("key"), (F.col("depth") + 1).alias("depth"), F.col("node").alias("parent"))).alias("x"))
+        found = found.select("query_id", F.col("to_id").alias("node"), "x.key", "x.depth").join(own, ["query_id", "node"], "left_anti")
+        label = cut(begin.unionByName(found))
+        now = tuple(label.agg(F.count("*"), F.sum(F.xxhash64("query_id", "node", "key", "depth").cast("decimal(38,0)"))).first())
+    top = label.join(own, ["query_id", "node"], "left_anti").select("query_id", "node", F.round(sign * F.col("key"), 6).alias("value"), "depth")
     order = F.asc("value") if cost else F.desc("value")
     return top.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "node"))).where(F.col("rank") <= max_results)
 
 
-def search(edges: DataFrame, starts: DataFrame, max_depth: int, max_results: int, sources: int, mode: str = "auto", cut=lambda df: df) -> DataFrame:
+def search_summary(results: DataFrame, starts: DataFrame) -> DataFrame:
+    """For each query the results, the nodes that were looked at (the starts and what was found) and the paths; 0 found where nothing was."""
+    found = results.groupBy("query_id").agg(F.count("*").alias("n"))
+    begun = starts.groupBy("query_id").agg(F.countDistinct("start_id").alias("s"))
+    n = F.coalesce("n", F.lit(0))
+    return begun.join(found, "query_id", "left").select("query_id", n.alias("total_found"), (n + F.col("s")).alias("nodes_explored"), n.alias("paths_found"))
+
+
+def search(edges: DataFrame, starts: DataFrame, max_depth: int, max_results: int, sources: int, mode: str = "auto", cut=None) -> DataFrame:
     """By shape of the query: one start and at most two levels, several starts and at most three, or deeper; or by mode."""
     if mode == "depth_first":
         paths = simple_paths(edges, starts, max_depth)
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("weight", 6)), "path"))
         return paths.withColumn("rank", rank).where(F.col("rank") <= max_results)
     if mode == "best_first" or mode == "auto" and max_depth > 3:
-        return best_first(edges, starts, max_depth, max_results, cost=mode == "auto", cut=cut)
+        return best_first(edges, starts, max_depth, max_results, cost=mode == "auto", cut=cut or (lambda df: df))
     if mode == "auto" and sources > 1:
         per = breadth_first(edges, starts, max_depth, max_results // sources + 10, True, cut)
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("weight", 6)), "node", "start_id"))
@@ -119,22 +156,20 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.select("nodes", e.alias("edges"), F.round(F.when(k > 0, 2 * e / k).otherwise(0.0), 6).alias("avg_degree"), F.coalesce("max_degree", F.lit(0)).alias("max_degree"), F.round(F.when(k > 1, e / (k * (k - 1))).otherwise(0.0), 9).alias("density"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, cut, rounds: int = 50) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, cut) -> DataFrame:
     """Weakly connected components as (id, component = smallest id): minima move along edges and jump to their own minimum.
 
-    cut(df) must end the lineage in files that all executors share.
+    Rounds go on until nothing changes; jumps keep them few. cut(df) must end the lineage in files that all executors share.
     """
     both = cut(edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).unionAll(edges.select(F.col("to_id").alias("a"), F.col("from_id").alias("b"))).where("a <> b").distinct())
-    label = cut(nodes.select("id").distinct().withColumn("c", F.col("id")))
-    for _ in range(rounds):
+    label, done = cut(nodes.select("id").distinct().withColumn("c", F.col("id"))), False
+    while not done:
         low = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
         new = label.join(low, "id", "left").select("id", F.least("c", "m").alias("c"), F.col("c").alias("before"))
         jump = new.select(F.col("id").alias("c"), F.col("c").alias("cc"))
         new = cut(new.join(jump, "c", "left").select("id", F.least("c", "cc").alias("c"), "before"))
         done = new.where("c <> before").isEmpty()
         label = new.select("id", "c")
-        if done:
-            break
     return label.select("id", F.col("c").alias("component"))
 
 
@@ -160,7 +195,7 @@ def decay(edges: DataFrame, rate: float = 0.01, ticks: int = 1) -> DataFrame:
     return edges.withColumn("weight", F.col("weight") * F.pow(F.lit(1 - rate), F.lit(ticks)))
 
 
-def expire_edges(edges: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
+def expire_edges(edges: DataFrame, as_of: str | Column, hours: int = 24) -> DataFrame:
     return edges.where(F.col("last_used") >= F.lit(as_of).cast("timestamp") - F.expr(f"interval {hours} hours"))
 
 
@@ -185,7 +220,7 @@ def close_connection(nodes: DataFrame, edges: DataFrame, connection: str) -> tup
     return nodes.join(gone.select("id"), "id", "left_anti"), left
 
 
-def garbage(nodes: DataFrame, edges: DataFrame, as_of: str, days: int = 30, least: float = 0.1) -> tuple[DataFrame, DataFrame]:
+def garbage(nodes: DataFrame, edges: DataFrame, as_of: str | Column, days: int = 30, least: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """Without memories that were never used before the cutoff, and without weak edges."""
     old = F.col("last_accessed") < F.lit(as_of).cast("timestamp") - F.expr(f"interval {days} days")
     kept, left = drop_nodes(nodes, edges, nodes.where(old & (F.col("access_count") == 0)))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallgrid.functions import scores
 
 
-def within_ttl(df: DataFrame, as_of: str, seconds: int = 3600, ts: str = "last_accessed") -> DataFrame:
+def within_ttl(df: DataFrame, as_of: str | Column, seconds: int = 3600, ts: str = "last_accessed") -> DataFrame:
     return df.where(F.col(ts) >= F.lit(as_of).cast("timestamp") - F.expr(f"interval {seconds} seconds"))
 
 
@@ -18,7 +18,7 @@ def keep_recent(df: DataFrame, capacity: int, pool: str = "pool", ts: str = "las
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= capacity).drop("_r")
 
 
-def keep_best(df: DataFrame, capacity: int, as_of: str, pool: str = "pool") -> DataFrame:
+def keep_best(df: DataFrame, capacity: int, as_of: str | Column, pool: str = "pool") -> DataFrame:
     """The ``capacity`` rows of each pool with the best retention score; of equal ones the later inserted stay."""
     most = F.max("access_count").over(Window.partitionBy(pool))
     age = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("last_accessed")
@@ -37,9 +37,11 @@ def frequent(df: DataFrame, least: int, count: str = "count") -> DataFrame:
     return df.where(F.col(count) >= least)
 
 
-def unused(df: DataFrame, as_of: str, days: int) -> DataFrame:
+def unused(df: DataFrame, as_of: str | Column, days: int) -> DataFrame:
     return df.where((F.col("last_accessed") < F.lit(as_of).cast("timestamp") - F.expr(f"interval {days} days")) & (F.col("access_count") == 0))
 
 
-def memory_estimate(df: DataFrame) -> DataFrame:
-    return df.agg(F.sum(4 * F.size("embedding") + F.octet_length("content")).alias("bytes"), F.count("*").alias("entries"))
+def memory_estimate(df: DataFrame, *by: str) -> DataFrame:
+    """Bytes of vectors (4 a place) and contents, and entries."""
+    size = F.coalesce(4 * F.size("embedding"), F.lit(0)) + F.coalesce(F.octet_length("content"), F.lit(0))
+    return df.groupBy(*by).agg(F.sum(size).alias("bytes"), F.count("*").alias("entries"))

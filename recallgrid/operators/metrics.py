@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallgrid.functions import scores
+from recallgrid.shared import running_total, written
 
 
-def percentiles(samples: DataFrame, group: str, value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """The sorted sample's element at floor(n * share) for each group; values are counted first, so a group's rows don't meet in one task unless they differ."""
+def percentiles(samples: DataFrame, group: str, value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99), cut: Callable = written) -> DataFrame:
+    """The sorted sample's element at floor(n * share) for each group; values are counted first, and a group's values are ranked in parts."""
     counted = samples.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(group).orderBy(value))
-    n = F.sum("c").over(Window.partitionBy(group))
-    ranked = counted.select(group, value, upto.alias("upto"), n.alias("n"))
+    ranked = running_total(counted, [group], [value], F.col("c"), "upto", cut)
+    n = ranked.groupBy(F.col(group).alias("_g")).agg(F.sum("c").alias("n"))
+    ranked = ranked.join(n, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
     at = [F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * q), F.col("n") - 1), F.col(value))).alias(f"p{str(q)[2:].ljust(2, '0')}") for q in shares]
     return ranked.groupBy(group).agg(F.max("n").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), *at)
 
@@ -22,11 +26,17 @@ def throughput(events: DataFrame, ts: str = "ts", every: str = "1 second") -> Da
     return events.groupBy(F.window(ts, every).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
 
 
-def moving_average(samples: DataFrame, group: str, order: list[str], value: str, keep: float = 0.8, most: int = 400) -> DataFrame:
-    """Exponential average in order; what lies more than ``most`` samples back weighs under keep ** most and is left to the seed."""
-    w = Window.partitionBy(group).orderBy(*[F.desc(c) for c in order])
-    last = samples.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
-    return last.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_r")).alias("r"), F.col(value).alias("v")))), lambda x: x["v"]).alias("l")).select(group, F.round(scores.ema_fold(F.col("l"), keep), 6).alias("ema"))
+def moving_average(samples: DataFrame, group: str, order: list[str], value: str, keep: float = 0.8) -> DataFrame:
+    """Exponential average of each group's values in order, the first value its seed.
+
+    The fold is a weighted sum: a value that k others follow weighs (1 - keep) * keep ** k, the seed keep ** k; so sums
+    are combined before the shuffle, and no group is brought together.
+    """
+    back = F.row_number().over(Window.partitionBy(group).orderBy(*[F.desc(c) for c in order])) - 1
+    first = F.row_number().over(Window.partitionBy(group).orderBy(*order)) == 1
+    rows = samples.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("_v"), back.alias("_k"), first.alias("_first"))
+    weight = F.when(F.col("_first"), 1.0).otherwise(1 - keep) * F.pow(F.lit(keep), F.col("_k"))
+    return rows.groupBy(group).agg(F.round(F.sum(F.col("_v") * weight), 6).alias("ema"))
 
 
 def hit_rate(probes: DataFrame, found: str = "found") -> DataFrame:
@@ -39,9 +49,9 @@ def bloom_error(bits_set, bits, hashes):
     return F.pow(bits_set / bits, hashes)
 
 
-def prediction_accuracy(outcomes: DataFrame, pool: str = "pool", order: str = "seq", most: int = 400) -> DataFrame:
+def prediction_accuracy(outcomes: DataFrame, pool: str = "pool", order: str = "seq") -> DataFrame:
     """Running accuracy that each outcome (1 or 0) moves by 5 %."""
-    return moving_average(outcomes, pool, [order], "hit", 0.95, most)
+    return moving_average(outcomes, pool, [order], "hit", 0.95)
 
 
 def compare_runs(before: DataFrame, after: DataFrame, tolerance: float = 0.1) -> DataFrame:
@@ -52,28 +62,66 @@ def compare_runs(before: DataFrame, after: DataFrame, tolerance: float = 0.1) ->
 
 
 def rate_limited(requests: DataFrame, most: int = 100, seconds: int = 60) -> DataFrame:
-    """Requests with the number of their client's requests in the window up to them, and whether that is over the limit."""
-    w = Window.partitionBy("client").orderBy("t").rangeBetween(-seconds, 0)
-    return requests.withColumn("in_window", F.count("*").over(w)).withColumn("limited", F.col("in_window") > most)
+    """Requests (event_id, client, t) with the admitted ones of their client in the window before them, and whether that refuses them.
 
+    Refused requests don't count, so each decision needs those before it: a client's requests are walked in order of
+    (t, event_id), as a stream of batches of which at most ``most`` times are kept.
+    """
 
-def signal_features(frames: DataFrame) -> DataFrame:
-    """One row over (t, unit, value): stability, entropy of the units' shares, local maxima a frame, bursts and mean total.
-
-    Everything is summed per frame or unit first.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client, admitted = object(), deque()
+        for batch in batches:
+            seen = []
+            for c, t in zip(batch["client"].tolist(), batch["t"].tolist()):
+                if c != client:
+                    client, admitted = c, deque()
+                while admitted and admitted[0] < t - seconds:
+                    admitted.popleft()
+                seen.append(len(admitted))
+                if len(admitted) < most:
+                    admitted.append(t)
+            yield batch.assign(in_window=seen, limited=[n >= most for n in seen])
+
+    rows = requests.select("event_id", "client", "t").repartition("client").sortWithinPartitions("client", "t", "event_id")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.mapInPandas(run, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", in_window long, limited boolean")
+
+
+def last_errors(events: DataFrame, group: str, order: list[str], failed: str, n: int = 100) -> DataFrame:
+    """Each group's last n failures, newest first."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(*[F.desc(c) for c in order]))
+    return events.where(F.col(failed)).withColumn("rank", rank).where(F.col("rank") <= n)
+
+
+def signal_features(frames: DataFrame, frame_ms: float = 1.0) -> DataFrame:
+    """One row over (t, unit, value), where a unit without a row in a frame has 0 there.
+
+    Entropy of the units' shares in a frame, averaged over frames; stability 1 / (1 + the units' mean variance); local
+    maxima, and the oscillation in Hz from the frames between them; bursts that ended; units a millisecond between the
+    first and the last unit's peak (infinite where all peak at once). Everything is summed per frame or unit first.
     """
-    by_t = frames.groupBy("t").agg(F.sum("value").alias("total"))
-    by_unit = frames.groupBy("unit").agg(F.sum(F.abs("value")).alias("mass"), F.var_pop("value").alias("var"))
-    mass = by_unit.agg(F.sum("mass").alias("all"), F.avg("var").alias("v"))
-    share = F.col("mass") / F.col("all")
-    entropy = by_unit.join(F.broadcast(mass.select("all")), F.lit(True)).agg(F.round(F.sum(F.when(share > 0, -share * F.log2(share)).otherwise(0.0)), 6).alias("entropy"))
+    by_t = frames.groupBy("t").agg(F.sum("value").alias("total"), F.sum(F.when(F.col("value") > 0, F.col("value") * F.log2("value"))).alias("vlogv"))
     w = Window.orderBy("t")  # one row a frame
-    peak = (F.col("total") > F.lag("total").over(w)) & (F.col("total") > F.lead("total").over(w)) & (F.col("total") > 0.1)
-    top = by_t.agg(F.max("total").alias("top"))
-    marked = by_t.join(F.broadcast(top), F.lit(True)).withColumn("peak", peak).withColumn("high", F.col("total") > 0.3 * F.col("top"))
+    peak = (F.col("total") > F.coalesce(F.lag("total").over(w), F.lit(float("-inf")))) & (F.col("total") > F.coalesce(F.lead("total").over(w), F.lit(float("-inf")))) & (F.col("total") > 0.1)
+    top = by_t.agg(F.max("total").alias("top"), F.count("*").alias("frames"))
+    marked = by_t.join(F.broadcast(top), F.lit(True)).withColumn("i", F.row_number().over(w)).withColumn("peak", peak).withColumn("high", F.col("total") > 0.3 * F.col("top"))
     ended = F.lag("high").over(w) & ~F.col("high")
-    times = marked.withColumn("ended", ended).agg(F.count("*").alias("frames"), F.count_if("peak").alias("maxima"), F.count_if("ended").alias("bursts"), F.round(F.avg("total"), 6).alias("mean_total"))
-    return times.join(entropy, F.lit(True)).join(mass.select(F.round(1 / (1 + F.col("v")), 6).alias("stability")), F.lit(True))
+    # -sum p log p = log total - sum(v log v) / total
+    spread = F.when(F.col("total") > 0, F.log2("total") - F.coalesce("vlogv", F.lit(0.0)) / F.col("total")).otherwise(0.0)
+    n_peaks, apart = F.count_if("peak"), F.max(F.when(F.col("peak"), F.col("i"))) - F.min(F.when(F.col("peak"), F.col("i")))
+    hertz = F.when((F.max("frames") >= 4) & (n_peaks > 1), 1000.0 * (n_peaks - 1) / (apart * frame_ms)).otherwise(0.0)
+    times = marked.withColumn("ended", ended).agg(
+        F.max("frames").alias("frames"), n_peaks.alias("maxima"), F.count_if("ended").alias("bursts"), F.round(F.avg("total"), 6).alias("mean_total"),
+        F.round(F.avg(spread), 6).alias("entropy"), F.round(hertz, 6).alias("oscillation_hz"),
+    )
+    place = marked.select("t", "i")
+    units = frames.join(place, "t").groupBy("unit").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"), F.max("value").alias("most"), F.max_by(F.struct((-F.col("i")).alias("i")), F.struct("value", -F.col("i"))).alias("at"))
+    units = units.join(F.broadcast(top.select("frames")), F.lit(True))
+    variance = F.col("q") / F.col("frames") - F.pow(F.col("s") / F.col("frames"), 2)
+    live = F.when(F.col("most") > 0, -F.col("at.i"))
+    late = (F.max(live) - F.min(live)) * frame_ms
+    speed = F.when(F.count(live) < 2, 0.0).when(late > 0, F.count("*") / late).otherwise(float("inf"))
+    return times.join(units.agg(F.round(1 / (1 + F.avg(variance)), 6).alias("stability"), F.round(speed, 6).alias("propagation_speed")), F.lit(True))
 
 
 def autocorrelation(frames: DataFrame, lags: int = 10) -> DataFrame:

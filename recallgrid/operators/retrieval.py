@@ -37,16 +37,23 @@ def similarity_topk(store: DataFrame, query: list[float], k: int = 10, key: str
 
 
 def _blocks(queries: DataFrame, query_key: str, vector: str) -> Iterator[tuple[list, np.ndarray]]:
-    rows = [(r[0], r[1]) for r in queries.select(query_key, vector).orderBy(query_key).toLocalIterator()]
+    """Query ids and vectors, SENT_BYTES at a time; the driver holds one block."""
+
+    def block(rows: list) -> tuple[list, np.ndarray]:
+        m = np.zeros((len(rows), max(len(v) for _, v in rows)))
+        for j, (_, v) in enumerate(rows):
+            m[j, : len(v)] = v
+        return [q for q, _ in rows], m
+
+    rows, size = [], 0
+    for q, v in queries.select(query_key, vector).orderBy(query_key).toLocalIterator():
+        rows.append((q, v))
+        size += 8 * max(1, len(v))
+        if size >= SENT_BYTES:
+            yield block(rows)
+            rows, size = [], 0
     if rows:
-        wide = max(len(v) for _, v in rows)
-        per = max(1, SENT_BYTES // (8 * max(1, wide)))
-        for i in range(0, len(rows), per):
-            part = rows[i : i + per]
-            m = np.zeros((len(part), wide))
-            for j, (_, v) in enumerate(part):
-                m[j, : len(v)] = v
-            yield [q for q, _ in part], m
+        yield block(rows)
 
 
 def similarity_batch(store: DataFrame, queries: DataFrame, k: int = 10, least: float | None = None, key: str = "memory_id", query_key: str = "query_id", vector: str = "embedding") -> DataFrame:
@@ -97,10 +104,16 @@ def has_confident_match(results: DataFrame, threshold: float = 0.7, query_key: s
     return results.groupBy(query_key).agg(F.max(F.col("similarity") > threshold).alias("confident"), F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 6).alias("avg_confidence"))
 
 
-def text_similarity(store: DataFrame, queries: DataFrame, k: int = 10, dim: int = 384) -> DataFrame:
-    """Texts of both sides embedded, each different query text once, then similarity_batch. store: memory_id, content; queries: query_id, content."""
-    q = queries.select("query_id", text.embed_semantic(F.col("content"), dim).alias("embedding"))
-    return similarity_batch(store.select("memory_id", text.embed_semantic(F.col("content"), dim).alias("embedding")), q, k)
+def text_similarity(store: DataFrame, queries: DataFrame, k: int = 10, dim: int = text.DIM) -> DataFrame:
+    """Texts of both sides embedded, each different one once, then similarity_batch. store: memory_id, content; queries: query_id, content."""
+
+    def embedded(rows: DataFrame, key: str) -> DataFrame:
+        one = Window.partitionBy("content")
+        rows = rows.select(key, "content", F.min(key).over(one).alias("_one"))
+        vectors_ = text.embed_semantic(rows.where(F.col(key) == F.col("_one")), key, "content", dim)
+        return rows.join(vectors_.withColumnRenamed(key, "_one"), "_one").select(key, "embedding")
+
+    return similarity_batch(embedded(store, "memory_id"), embedded(queries, "query_id"), k)
 
 
 def pattern_search(patterns: DataFrame, query: list[float], k: int, least: float = 0.0, key: str = "id") -> DataFrame:
@@ -138,16 +151,40 @@ def newest_containing(store: DataFrame, query: str, limit: int = 5, key: str = "
 
 
 def discover(new: DataFrame, existing: DataFrame, least: float = 0.1, key: str = "id") -> DataFrame:
-    """Associations from each new row to other rows by shared tags: an equi-join on tags, counted per pair."""
-    size = lambda c: F.size(F.array_distinct(c))
-    a = new.select(F.col(key).alias("from_id"), size(F.col("tags")).alias("n_from"), F.explode(F.array_distinct("tags")).alias("tag"))
-    b = existing.select(F.col(key).alias("to_id"), size(F.col("tags")).alias("n_to"), F.explode(F.array_distinct("tags")).alias("tag"))
-    common = a.join(b, "tag").where("from_id <> to_id").groupBy("from_id", "to_id", "n_from", "n_to").agg(F.count("*").alias("common"))
-    weight = F.round(F.col("common") / (F.col("n_from") + F.col("n_to") - F.col("common")), 6)
-    return common.select(text.association_id(F.col("from_id"), F.col("to_id")).alias("id"), "from_id", "to_id", F.lit("semantic").alias("type"), weight.alias("weight"), F.format_string("Common tags: %d", "common").alias("reason")).where(F.col("weight") >= least)
+    """Associations from each new row to other rows by shared tags.
+
+    Rows with the same tags are one class, and classes are compared, not rows: a tag that a third of all rows have costs
+    what its classes do, and the join that gives the result puts nothing together again.
+    """
+    own = lambda df: df.select(F.col(key), F.array_sort(F.array_distinct(F.filter("tags", lambda t: t.isNotNull()))).alias("class"))
+    a, b = own(new), own(existing)
+    tagged = lambda df, name: df.select(F.col("class").alias(name)).distinct().select(name, F.explode(name).alias("tag"))
+    common = tagged(a, "ca").join(tagged(b, "cb"), "tag").groupBy("ca", "cb").agg(F.count("*").alias("common"))
+    weight = F.round(F.col("common") / (F.size("ca") + F.size("cb") - F.col("common")), 6)
+    pairs = common.withColumn("weight", weight).where(F.col("weight") >= least)
+    out = a.select(F.col(key).alias("from_id"), F.col("class").alias("ca")).join(pairs, "ca").join(b.select(F.col(key).alias("to_id"), F.col("class").alias("cb")), "cb").where("from_id <> to_id")
+    return out.select(text.association_id(F.col("from_id"), F.col("to_id")).alias("id"), "from_id", "to_id", F.lit("semantic").alias("type"), "weight", F.format_string("Common tags: %d", "common").alias("reason"))
 
 
 def touch(memories: DataFrame, accesses: DataFrame, key: str = "memory_id") -> DataFrame:
     """Access counts and times from an access log over the stored ones."""
     seen = accesses.groupBy(key).agg(F.count("*").alias("n"), F.max("ts").alias("t"))
     return memories.join(seen, key, "left").withColumn("access_count", F.col("access_count") + F.coalesce("n", F.lit(0))).withColumn("last_accessed", F.greatest("last_accessed", "t")).drop("n", "t")
+
+
+def get_memories(memories: DataFrame, wanted: DataFrame, as_of: str, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """The wanted ids' rows, found or not, with the access that this is counted, and all memories with it.
+
+    wanted: id, one row for each request; an id that is asked for several times is accessed as often.
+    """
+    asked = wanted.groupBy(key).agg(F.count("*").alias("_n"))
+    now = F.lit(as_of).cast("timestamp")
+    hit = F.col("_n").isNotNull()
+    after = memories.join(asked, key, "left").withColumn("access_count", F.col("access_count") + F.coalesce("_n", F.lit(0))).withColumn("last_accessed", F.when(hit, F.greatest("last_accessed", now)).otherwise(F.col("last_accessed")))
+    got = asked.select(key).join(after.where(hit).drop("_n").withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    return got, after.drop("_n")
+
+
+def list_memories(memories: DataFrame, limit: int | None = None, key: str = "id") -> DataFrame:
+    """The first rows by id: 100, or as many as asked for if that is 1 to 1000."""
+    return memories.orderBy(key).limit(limit if limit is not None and 0 < limit <= 1000 else 100)

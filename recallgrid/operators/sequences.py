@@ -38,26 +38,39 @@ def admitted(grams: DataFrame, cap: int = 100) -> DataFrame:
     return grams.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
 
 
-def gram_intervals(accesses: DataFrame, n: int, most: int = 100) -> DataFrame:
-    """The last ``most`` intervals between an n-gram's appearances."""
+def gram_history(accesses: DataFrame, n: int, intervals: int = 100, contexts: int = 50) -> DataFrame:
+    """The last intervals between an n-gram's appearances, and the contexts of its last ones; both in order. accesses may have user_context."""
     gram = F.collect_list("memory_id").over(_order().rowsBetween(-(n - 1), 0))
-    rows = accesses.select("pool", "seq", "ts_us", gram.alias("ngram")).where(F.size("ngram") == n)
-    own = Window.partitionBy("pool", "ngram").orderBy("seq")
-    back = F.row_number().over(Window.partitionBy("pool", "ngram").orderBy(F.desc("seq")))
-    dt = rows.withColumn("dt", F.greatest(F.col("ts_us") - F.lag("ts_us").over(own), F.lit(0))).where("dt is not null").withColumn("back", back).where(F.col("back") <= most)
-    return dt.groupBy("pool", "ngram").agg(F.max_by("dt", "seq").alias("last_interval_us"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "dt"))), lambda x: x["dt"]).alias("intervals"))
+    context = F.col("user_context") if "user_context" in accesses.columns else F.lit(None).cast("string")
+    rows = accesses.select("pool", "seq", "ts_us", context.alias("context"), gram.alias("ngram")).where(F.size("ngram") == n)
+    own = Window.partitionBy("pool", "ngram")
+    before = F.lag("ts_us").over(own.orderBy("seq"))
+    rows = rows.withColumn("dt", F.when(before.isNotNull(), F.greatest(F.col("ts_us") - before, F.lit(0))))
+    rows = rows.withColumn("back", F.row_number().over(own.orderBy(F.desc("seq")))).withColumn("cback", F.count("context").over(own.orderBy(F.desc("seq"))))
+    kept = lambda value, most: F.transform(F.array_sort(F.collect_list(F.when(most, F.struct("seq", value)))), lambda x: x[value])
+    # the first appearance has a context but no interval
+    return rows.groupBy("pool", "ngram").agg(
+        F.count("*").alias("count"), F.max_by("dt", "seq").alias("last_interval_us"),
+        kept("dt", F.col("dt").isNotNull() & (F.col("back") <= intervals)).alias("intervals"), kept("context", F.col("context").isNotNull() & (F.col("cback") <= contexts)).alias("contexts"),
+    )
 
 
 def transitions(accesses: DataFrame) -> DataFrame:
-    """pool, from_id, to_id, count, probability over the row, and the halving average of the intervals in order."""
+    """pool, from_id, to_id, count, probability over the row, and the halving average of the intervals in order.
+
+    Halving in whole numbers, (0 + x1) / 2, then (that + x2) / 2 and so on, is the whole part of the sum of x / 2 ** (k + 1)
+    over intervals that k others follow. Sums of 64 intervals each are combined before the shuffle, and carried from the
+    oldest to the newest.
+    """
     w = _order()
     step = accesses.select("pool", "seq", F.lag("memory_id").over(w).alias("from_id"), F.col("memory_id").alias("to_id"), F.greatest(F.col("ts_us") - F.lag("ts_us").over(w), F.lit(0)).alias("dt")).where("from_id is not null")
-    # each halving halves what older intervals weigh: behind the last 64 they change the average by 1 us at most
-    last = F.row_number().over(Window.partitionBy("pool", "from_id", "to_id").orderBy(F.desc("seq")))
-    kept = step.withColumn("back", last)
-    counted = kept.groupBy("pool", "from_id", "to_id").agg(F.count("*").alias("count"), F.sort_array(F.collect_list(F.when(F.col("back") <= 64, F.struct("seq", "dt")))).alias("last"))
+    k = F.row_number().over(Window.partitionBy("pool", "from_id", "to_id").orderBy(F.desc("seq"))) - 1
+    scale = F.element_at(F.array(*[F.lit(str(1 << (63 - i))).cast("decimal(20,0)") for i in range(64)]), F.pmod("k", F.lit(64)) + 1)
+    sums = step.withColumn("k", k).groupBy("pool", "from_id", "to_id", F.floor(F.col("k") / 64).alias("chunk")).agg(F.count("*").alias("n"), F.sum((F.col("dt").cast("decimal(18,0)") * scale).cast("decimal(38,0)")).cast("decimal(38,0)").alias("s"))
+    counted = sums.groupBy("pool", "from_id", "to_id").agg(F.sum("n").alias("count"), F.sort_array(F.collect_list(F.struct("chunk", "s")), asc=False).alias("chunks"))
     total = F.sum("count").over(Window.partitionBy("pool", "from_id"))
-    return counted.select("pool", "from_id", "to_id", "count", (F.col("count") / total).alias("probability"), scores.halving_fold(F.transform("last", lambda x: x["dt"])).alias("average_interval"))
+    fold = F.expr(f"aggregate(chunks, 0L, (a, x) -> cast((cast(a as decimal(38,0)) + x.s) div {1 << 64}BD as bigint))")
+    return counted.select("pool", "from_id", "to_id", "count", (F.col("count") / total).alias("probability"), fold.alias("average_interval"))
 
 
 def repeats(accesses: DataFrame, longest: int = 5) -> DataFrame:
@@ -164,6 +177,25 @@ def next_occurrence(now_us: Column, average_us: Column, position: Column, length
     return F.when(position < length, now_us + average_us).otherwise(now_us + average_us * length)
 
 
+def best_hits(results: DataFrame, threshold: float, top: int = 5) -> DataFrame:
+    """Each query's best hits above a threshold, as accesses in order of queries: the input of co_access."""
+    rank = F.row_number().over(Window.partitionBy("pool", "query_id").orderBy(F.desc("similarity"), "memory_id"))
+    kept = results.where(F.col("similarity") > threshold).withColumn("_r", rank).where(F.col("_r") <= top)
+    return kept.select("pool", "query_id", "memory_id", (F.col("query_id") * top + F.col("_r")).alias("seq"))
+
+
+def co_access_by_query(hits: DataFrame, window: int = 10, top: int = 5) -> DataFrame:
+    """Counts of (earlier, later) memories: each query's hits, ``top`` at most, with the last ``window`` hits before that query."""
+    place = F.row_number().over(Window.partitionBy("pool").orderBy("seq"))
+    rows = hits.withColumn("_p", place).withColumn("_first", F.min("_p").over(Window.partitionBy("pool", "query_id")))
+    # up to top - 1 hits of its own query lie between
+    back = Window.partitionBy("pool").orderBy("_p").rowsBetween(-(window + top), -1)
+    rows = rows.withColumn("_before", F.collect_list(F.struct("_p", "memory_id")).over(back))
+    near = F.filter("_before", lambda x: (x["_p"] < F.col("_first")) & (x["_p"] >= F.col("_first") - window))
+    pairs = rows.select("pool", "memory_id", F.explode(near).alias("x")).select("pool", F.col("x.memory_id").alias("a"), F.col("memory_id").alias("b")).where("a <> b")
+    return pairs.groupBy("pool", "a", "b").agg(F.count("*").alias("n"))
+
+
 def co_access(hits: DataFrame, window: int = 10) -> DataFrame:
     """Counts of (earlier, later) memories among each query's hits and the last ``window`` ones before it. hits: pool, seq, memory_id."""
     w = Window.partitionBy("pool").orderBy("seq").rowsBetween(-window, -1)
@@ -173,3 +205,65 @@ def co_access(hits: DataFrame, window: int = 10) -> DataFrame:
 
 def pattern_strength(patterns: DataFrame, memory_id: int) -> DataFrame:
     return patterns.groupBy("pool").agg(F.avg(F.array_contains("sequence", memory_id).cast("double")).alias("strength"), F.avg("confidence").alias("avg_confidence"))
+
+
+def get_patterns(patterns: DataFrame, kind: str | None = None, least: float = 0.1) -> DataFrame:
+    """Patterns of a kind, or of all kinds, that are confident enough."""
+    out = patterns.where(F.col("confidence") >= least)
+    return out if kind is None else out.where(F.col("pattern_type") == kind)
+
+
+def access_history(accesses: DataFrame, memory_id: int | None = None) -> DataFrame:
+    """A memory's accesses; all of them without a memory or with 0."""
+    return accesses.where(F.col("memory_id") == memory_id) if memory_id else accesses
+
+
+def resolve_contents(stored: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Each context's texts as memory ids in order, unknown texts dropped; the last writer of a text in a pool counts.
+
+    stored: pool, seq, content, memory_id; contexts: pool, context_id, position, content.
+    """
+    known = stored.groupBy("pool", "content").agg(F.max_by("memory_id", "seq").alias("memory_id"))
+    hit = contexts.join(known, ["pool", "content"]).groupBy("pool", "context_id")
+    return hit.agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "memory_id"))), lambda x: x["memory_id"]).alias("recent"))
+
+
+def with_content(predictions: DataFrame, stored: DataFrame) -> DataFrame:
+    """Predictions with their memory's text, or memory_<id> where none is stored; of several texts the last written."""
+    own = stored.groupBy("pool", "memory_id").agg(F.max_by("content", "seq").alias("content"))
+    return predictions.join(own, ["pool", "memory_id"], "left").withColumn("content", F.coalesce("content", F.concat(F.lit("memory_"), F.col("memory_id").cast("string"))))
+
+
+def learn(accesses: DataFrame, new: DataFrame) -> DataFrame:
+    """The log with further accesses behind it, reads unless they say otherwise. new: pool, memory_id, ts_us and an order, turn."""
+    last = accesses.groupBy("pool").agg(F.max("seq").alias("_last"))
+    kind = F.coalesce(F.col("access_type"), F.lit("read")) if "access_type" in new.columns else F.lit("read")
+    place = F.row_number().over(Window.partitionBy("pool").orderBy("turn"))
+    more = new.join(last, "pool", "left").select("pool", (F.coalesce("_last", F.lit(0)) + place).alias("seq"), "memory_id", "ts_us", kind.alias("access_type"))
+    return accesses.select("pool", "seq", "memory_id", "ts_us", "access_type").unionByName(more)
+
+
+def forget(accesses: DataFrame, pools: list) -> DataFrame:
+    """The log without what these pools have learned."""
+    return accesses.where(~F.col("pool").isin(pools))
+
+
+def context_state(accesses: DataFrame, patterns: DataFrame, accuracy: DataFrame, learning_rate: float = 0.1) -> DataFrame:
+    """Each pool's active patterns, accesses in the window, running accuracy and learning rate. accuracy: pool, ema."""
+    n = patterns.groupBy("pool").agg(F.count("*").alias("active_patterns"))
+    out = accesses.groupBy("pool").agg(F.count("*").alias("context_window_size")).join(n, "pool", "left").join(accuracy, "pool", "left")
+    return out.select("pool", F.coalesce("active_patterns", F.lit(0)).alias("active_patterns"), "context_window_size", F.coalesce("ema", F.lit(0.0)).alias("prediction_accuracy"), F.lit(learning_rate).alias("learning_rate"))
+
+
+def predictor_health(pools: DataFrame, patterns: DataFrame) -> DataFrame:
+    """healthy with a mean confidence over 0.3, starting without patterns, else degraded."""
+    per = patterns.groupBy("pool").agg(F.avg("confidence").alias("avg_confidence"), F.count("*").alias("patterns"))
+    n, c = F.coalesce("patterns", F.lit(0)), F.coalesce("avg_confidence", F.lit(0.0))
+    status = F.when(c > 0.3, "healthy").when(n == 0, "starting").otherwise("degraded")
+    return pools.join(per, "pool", "left").select("pool", n.alias("patterns"), c.alias("avg_confidence"), status.alias("status"))
+
+
+def context_features(accesses: DataFrame, memory_id: int) -> DataFrame:
+    """Each pool's accesses, how long they took, and a memory's share of them."""
+    n = F.count("*")
+    return accesses.groupBy("pool").agg(n.alias("n"), (F.max("ts_us") - F.min("ts_us")).alias("duration_us"), F.round(F.count_if(F.col("memory_id") == memory_id) / n, 6).alias("view_share"))

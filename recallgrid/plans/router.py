@@ -58,9 +58,19 @@ def distinct_best(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def parallel(queries: DataFrame, layers: dict[int, Layer], k: int = 10) -> DataFrame:
-    """All layers at once, one row for each memory."""
-    return top(distinct_best(_union([_tagged(n, f(queries)) for n, f in sorted(layers.items())])), k)
+def parallel(queries: DataFrame, layers: dict[int, Layer], k: int = 10, failures: list[tuple[int, Exception]] | None = None) -> DataFrame:
+    """All layers at once, one row for each memory. With a list for failures, a layer that can't be planned is left out and noted there."""
+    parts = []
+    for n, f in sorted(layers.items()):
+        try:
+            parts.append(_tagged(n, f(queries)))
+        except Exception as e:
+            if failures is None:
+                raise
+            failures.append((n, e))
+    if not parts:
+        raise RuntimeError("no layer answers") from (failures[-1][1] if failures else None)
+    return top(distinct_best(_union(parts)), k)
 
 
 def sequential(queries: DataFrame, layers: dict[int, Layer], k: int = 10, stop_at: float = 1.0) -> DataFrame:
@@ -110,15 +120,40 @@ def fallback(parts: list[DataFrame], k: int = 10) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def simple_route(queries: DataFrame) -> DataFrame:
+    """queries with the strategy: sequential for contents under 50 bytes, parallel for longer ones with an embedding, else sequential."""
+    short = F.octet_length(F.coalesce("content", F.lit(""))) < 50
+    return queries.withColumn("strategy", F.when(~short & F.coalesce("has_embedding", F.lit(False)), "parallel").otherwise("sequential"))
+
+
+# fixed values: explicit operations and what they ask for (message, operation, layer)
+OPERATIONS = {
+    "add_memory": ("memory_add", "add", "layer1"), "memory_add": ("memory_add", "add", "layer1"),
+    "get_memory": ("memory_get", "get", "layer3"), "memory_get": ("memory_get", "get", "layer3"),
+    "search": ("search_associative", "search", "layer3"), "associative_search": ("search_associative", "search", "layer3"),
+    "add_association": ("association_add", "add", "layer3"), "association_add": ("association_add", "add", "layer3"),
+    "health_check": ("health_check", "health", "all"), "health": ("health_check", "health", "all"),
+    "performance": ("performance", "metrics", "all"), "metrics": ("performance", "metrics", "all"),
+}
+
+
 def infer_operation(message: Column) -> Column:
-    """What a JSON object asks for: its explicit operation, else by its keys."""
-    has = lambda *names: sum((F.when(F.get_json_object(message, f"$.{n}").isNotNull(), 1).otherwise(0) for n in names), F.lit(0)) > 0
+    """What a JSON object asks for, as (message, operation, layer): its explicit operation, else by the keys that it has, whatever their values.
+
+    An explicit operation is a text, in any case; one that isn't known, and a message that is no object, ask for nothing (null).
+    """
+    answer = lambda m, o, layer: F.struct(F.lit(m).alias("message"), F.lit(o).alias("operation"), F.lit(layer).alias("layer"))
+    keys = F.json_object_keys(message)
+    has = lambda *names: F.arrays_overlap(keys, F.array(*[F.lit(n) for n in names]))
+    given = F.try_variant_get(F.try_parse_json(message), "$.operation", "variant")
+    explicit = F.schema_of_variant(given) == "STRING"
+    known = F.create_map(*[x for name, a in OPERATIONS.items() for x in (F.lit(name), answer(*a))])
     return (
-        F.when(has("operation"), F.get_json_object(message, "$.operation"))
-        .when(has("from", "from_id") & has("to", "to_id"), "add_association")
-        .when(has("content", "memory"), "add_memory")
-        .when(has("search", "query"), "search_associative")
-        .when(has("health", "status"), "health_check")
-        .when(has("id"), "get_memory")
-        .otherwise("unknown")
+        F.when(keys.isNull(), F.lit(None))
+        .when(F.coalesce(explicit, F.lit(False)), F.try_element_at(known, F.lower(F.get_json_object(message, "$.operation"))))
+        .when(has("memory", "content"), answer("memory_add", "add", "layer1"))
+        .when(has("search", "query"), answer("search_associative", "search", "layer3"))
+        .when(has("association") | (has("from_memory_id") & has("to_memory_id")), answer("association_add", "add", "layer3"))
+        .when(has("health", "status"), answer("health_check", "health", "all"))
+        .otherwise(answer("memory_add", "add", "layer3"))
     )

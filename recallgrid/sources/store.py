@@ -7,6 +7,8 @@ import time
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from recallgrid.functions import scores
+
 #: A log entry: its place in the log, kind (add, update, remove, cleanup), id, owner and payload.
 LOG_SCHEMA = "seq long, entry_type string, memory_id long, connection_id string, content string, embedding array<float>, strength double, access_count long, ts timestamp"
 
@@ -23,22 +25,58 @@ def append_log(entries: DataFrame, path: str) -> None:
 
 
 def write_snapshot(df: DataFrame, root: str, name: str | None = None) -> str:
-    """A new version beside the old ones; the pointer table is rewritten last, so readers see whole snapshots only."""
+    """A new version beside the old ones, then a new pointer beside the old ones: readers take the latest whole pointer, so never half a snapshot."""
     spark = df.sparkSession
-    name = name or f"v{time.time_ns()}"
+    at = time.time_ns()
+    name = name or f"v{at}"
     df.write.mode("errorifexists").parquet(f"{root}/{name}")
     n = spark.read.parquet(f"{root}/{name}").count()
-    spark.createDataFrame([(name, n)], "version string, entries long").coalesce(1).write.mode("overwrite").json(f"{root}/_current")
+    spark.createDataFrame([(name, n, at)], POINTER).coalesce(1).write.mode("append").json(f"{root}/_pointers")
     return name
 
 
-def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.schema("version string, entries long").json(f"{root}/_current").first()["version"]
-    return spark.read.parquet(f"{root}/{version}")
+#: A pointer to a snapshot: its name, its rows and when it was written, in ns.
+POINTER = "version string, entries long, written long"
 
 
 def snapshot_metadata(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema("version string, entries long").json(f"{root}/_current")
+    """The latest snapshot's name, rows and time."""
+    return spark.read.schema(POINTER).json(f"{root}/_pointers").where("version is not null").orderBy(F.desc("written")).limit(1)
+
+
+def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/{snapshot_metadata(spark, root).first()['version']}")
+
+
+#: Categories of patterns; fixed values. Any other one is the default.
+CATEGORIES, DEFAULT_CATEGORY = ("Temporal", "Spatial", "Transformational", "Relational"), "Transformational"
+
+
+def patterns_from_snapshot(rows: DataFrame) -> DataFrame:
+    """Stored patterns as patterns: sure, of a known category, with their steps from their times."""
+    known = F.when(F.col("category").isin(*CATEGORIES), F.col("category")).otherwise(DEFAULT_CATEGORY)
+    return rows.select("id", "name", known.alias("category"), "embedding", "activation_count", F.lit(1.0).alias("confidence"), F.col("created_ms").alias("first_seen_step"), F.col("last_used_ms").alias("last_used_step"))
+
+
+def to_wire(rows: DataFrame, *columns: str) -> DataFrame:
+    """(payload, crc): each row as a JSON object with the checksum of its bytes."""
+    payload = rows.select(F.to_json(F.struct(*columns)).alias("payload"))
+    return payload.withColumn("crc", scores.checksum(F.col("payload")))
+
+
+def from_wire(messages: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of messages whose checksum holds, and the messages whose doesn't or that are no such object."""
+    parsed = messages.withColumn("r", F.from_json("payload", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    good = F.coalesce((scores.checksum(F.col("payload")) == F.col("crc")) & F.col("r._bad").isNull(), F.lit(False))
+    return parsed.where(good).select("r.*").drop("_bad"), parsed.where(~good).select("payload", "crc")
+
+
+def demo(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Ten memories and eight associations to try the engine on."""
+    topics = ["graphs hold edges", "edges join nodes", "vectors have norms", "norms scale cosines", "logs keep events", "events make patterns", "patterns predict events", "caches forget entries", "snapshots restore logs", "queries rank memories"]
+    memories = spark.createDataFrame([(i, t, t.split()) for i, t in enumerate(topics, 1)], "id long, content string, tags array<string>")
+    edges = spark.createDataFrame([(f"assoc_{a}_{b}", a, b, "semantic", round(1 - 0.1 * k, 1)) for k, (a, b) in enumerate([(1, 2), (3, 4), (5, 6), (6, 7), (9, 5), (10, 1), (10, 3), (8, 10)])], "id string, from_id long, to_id long, type string, weight double")
+    return memories, edges
 
 
 def replay(log: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:

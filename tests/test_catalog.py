@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from recallgrid import catalog
+from recallgrid import catalog, catalog_upkeep  # noqa: F401 - registers its queries
 
 duckdb = pytest.importorskip("duckdb")
 TABLES = Path("/root/testdata/sf0.001")
