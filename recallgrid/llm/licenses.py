@@ -8,8 +8,9 @@ THRESHOLD) with its window if its template is the class's largest, and of half o
 bands of one row, ``HASHES`` bands miss it with a probability under (1 - that) ** HASHES. Retrieved pairs are
 verified exactly: matches are the maximal runs of positions where a stretch holds enough of the template's shingles.
 
-Null and empty texts match nothing. One row per document and template that matches, with the number of separate
-places and the best containment; repeated rows give repeated results.
+One row per document and template that matches, with the number of separate places and the best containment; templates
+with equal containment have one each, repeated rows give repeated results. Null, empty and blank texts and an empty table
+match nothing; texts of any length are read whole. Columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations

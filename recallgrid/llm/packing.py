@@ -3,7 +3,8 @@
 A document's ids are its text's ids and an end id; a null or empty text has the end id alone. Documents of more than
 one window are first cut into full windows, and only the rest is packed. Equal lengths are interchangeable, so the
 plan is made once from the exact counts of the at most ``capacity`` lengths, and each piece finds its place by its
-rank among the pieces of its length. Repeated rows are packed as often as they occur.
+rank among the pieces of its length. Repeated rows are packed as often as they occur. An empty table gives an empty
+result; texts of any length are read whole, and columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ a suffix array for each shard, by Larsson-Sadakane refinement from 8 bytes up to
 of neighbours tell which windows occur again. A key whose classes are larger than a shard is split into runs: shards
 of its own, each with its sorted windows, merged by searching the digests of windows that several runs share.
 
-Texts are UTF-8 bytes; null is empty. Texts shorter than LENGTH lose nothing. Repeated rows lose what they share.
+Texts are UTF-8 bytes; null is empty. Texts shorter than LENGTH lose nothing, longer ones are read whole. Repeated rows
+lose what they share. An empty table gives an empty result; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -186,22 +187,21 @@ def _described(rows: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 piece = batch.slice(at, 1000)
-                own = piece.column(0).to_numpy()
                 ids, keys, starts, counts, digests = [], [], [], [], []
-                for rid, t in zip(own, utf8(piece)):
+                for i, t in enumerate(utf8(piece)):
                     if len(t) < length:
                         continue
                     k, s, n = stretches(t, length)
-                    ids.append(np.full(len(k), rid))
+                    ids.append(np.full(len(k), i))
                     keys.append(k.view(np.int64)), starts.append(s), counts.append(n)
                     digests += [hashlib.blake2b(t[i:j], digest_size=8).digest() for i, j in zip(s.tolist(), (s + n + length - 1).tolist())]
                 if ids:
                     yield pa.record_batch({
-                        "key": np.concatenate(keys), "digest": np.frombuffer(b"".join(digests), np.int64), "rid": np.concatenate(ids),
+                        "key": np.concatenate(keys), "digest": np.frombuffer(b"".join(digests), np.int64), "rid": piece.column(0).take(pa.array(np.concatenate(ids))),
                         "start": np.concatenate(starts).astype(np.int32), "n": np.concatenate(counts).astype(np.int32),
                     })
 
-    return rows.mapInArrow(run, "key long, digest long, rid long, start int, n int")
+    return rows.mapInArrow(run, "key long, digest long, rid binary, start int, n int")
 
 
 def _sorted_shards(length: int):
@@ -227,7 +227,7 @@ def _sorted_shards(length: int):
             for rid, start, f in zip(part["rid"], part["start"], flags):
                 for s, n in zip(*_spans(f)):
                     out.append((rid, start + s, n))
-        return pd.DataFrame(out, columns=["rid", "start", "n"]).astype({"rid": "int64", "start": "int32", "n": "int32"})
+        return pd.DataFrame(out, columns=["rid", "start", "n"]).astype({"start": "int32", "n": "int32"})
 
     return run
 
@@ -237,11 +237,11 @@ def _window_digests(rows: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for rid, start, n, raw in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("rid", "start", "n", "bytes"))):
                 yield pa.record_batch({
-                    "rid": pa.array(np.full(n, rid)), "start": pa.array(np.arange(start, start + n, dtype=np.int32)),
+                    "rid": pa.array([rid] * n, pa.binary()), "start": pa.array(np.arange(start, start + n, dtype=np.int32)),
                     "w": pa.array([hashlib.blake2b(raw[i : i + length], digest_size=16).digest() for i in range(n)], pa.binary()),
                 })
 
-    return rows.select("rid", "start", "n", "bytes").mapInArrow(run, "rid long, start int, w binary")
+    return rows.select("rid", "start", "n", "bytes").mapInArrow(run, "rid binary, start int, w binary")
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -264,10 +264,10 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     )
     bits = cut(bits, "bytes")
     usual, hot = bits.where(F.col("size") <= 4 * SHARD_BYTES), bits.where(F.col("size") > 4 * SHARD_BYTES)
-    found = usual.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInPandas(_sorted_shards(length), "rid long, start int, n int")
+    found = usual.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInPandas(_sorted_shards(length), "rid binary, start int, n int")
     # runs of a key that is larger than a shard: what each run repeats by itself, and the windows that runs share
     split = hot.withColumn("run", F.pmod(F.xxhash64("rid", "start"), F.floor(F.col("size") / SHARD_BYTES) + 1))
-    found = found.unionAll(split.groupBy("key", "run").applyInPandas(_sorted_shards(length), "rid long, start int, n int"))
+    found = found.unionAll(split.groupBy("key", "run").applyInPandas(_sorted_shards(length), "rid binary, start int, n int"))
     windows = _window_digests(hot, length)
     shared = windows.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
     found = found.unionAll(windows.join(shared, "w", "left_semi").select("rid", "start", F.lit(1).alias("n")))
@@ -279,7 +279,9 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row; with keep also the bytes that stay."""
-    rows = docs.select("doc_id", "text").withColumn("rid", F.xxhash64("doc_id", "text"))
+    # 128 bits: rows that share them have equal texts
+    row = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\0"), F.coalesce("text", F.lit("")))
+    rows = docs.select("doc_id", "text").withColumn("rid", F.unhex(F.md5(row.cast("binary"))))
     per = repeated_spans(rows.select("rid", "text"), length).groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Token ids from a public vocabulary, and the exact length histogram.
 
-A null or empty text has no tokens. Special tokens' strings in a text are ordinary text.
+A null or empty text has no tokens. Special tokens' strings in a text are ordinary text. Repeated rows count as often as
+they occur; an empty table gives an empty result, and texts of any length are read whole.
 """
 
 from __future__ import annotations

@@ -221,6 +221,37 @@ def test_licenses_bare_notice_and_full_texts(spark):
     assert all(got[10 + i, n] == (1, 1.0) for i, n in enumerate(full))
 
 
+def brute_licenses(t, templates):
+    """Templates of which some stretch, as long as the scan allows, holds enough shingles."""
+    words, out = re.findall(r"[a-z0-9\x80-\xff]+", (t or "").encode().decode("latin-1").lower()), {}
+    for name, template in templates.items():
+        own = re.findall(r"[a-z0-9\x80-\xff]+", template.encode().decode("latin-1").lower())
+        k = min(5, len(own))
+        want = {tuple(own[i : i + k]) for i in range(len(own) - k + 1)}
+        have = [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
+        wide = int(np.ceil(len(own[k - 1 :]) * (2 - licenses.THRESHOLD)))
+        best = max((len(want & set(have[i : i + wide])) for i, x in enumerate(have) if x in want), default=0)
+        if best / len(want) >= licenses.THRESHOLD:
+            out[name] = round(best / len(want), 9)
+    return out
+
+
+def test_licenses_against_brute_force(spark):
+    """Altered notices anywhere in short and long texts; repeats, ties, null and blank rows, and columns with the result's names."""
+    rng = random.Random(14)
+    rows = []
+    for i, (name, t) in enumerate(sorted(licenses.TEMPLATES.items()) * 6):
+        w = t.split()
+        for _ in range(rng.randrange(0, max(1, len(w) // 20) + 1)):
+            w[rng.randrange(len(w))] = "altered"
+        rows.append((i, text(rng, rng.randrange(0, 400)) + " " + " ".join(w) + " " + text(rng, rng.randrange(0, 400))))
+    rows += [(900, text(rng, 60_000) + " " + licenses.TEMPLATES["MIT"]), (901, None), (902, " \n"), rows[0], (None, rows[0][1])]
+    d = spark.createDataFrame([(*r, "x", 1, 0.5) for r in rows], "doc_id long, text string, template string, places long, containment double")
+    got = collections.Counter((r["doc_id"], r["template"], round(r["containment"], 9)) for r in licenses.scan(d).collect())
+    want = collections.Counter((i, k, c) for i, t in rows for k, c in brute_licenses(t, licenses.TEMPLATES).items())
+    assert len(want) > 80 and not got - want and sum((got & want).values()) >= 0.99 * sum(want.values()), (got - want, want - got)
+
+
 def test_plan_is_best_fit_decreasing():
     rng = random.Random(6)
     for _ in range(20):
