@@ -19,14 +19,10 @@ def _order() -> Window:
 
 def ngrams(accesses: DataFrame, longest: int = 5) -> DataFrame:
     """pool, n, ngram, count, last_seen, first_seq, and the share of its order's total as confidence."""
-    rows = accesses.select("pool", "seq", "memory_id", "ts_us")
-    parts = []
-    for n in range(2, longest + 1):
-        gram = F.collect_list("memory_id").over(_order().rowsBetween(-(n - 1), 0))
-        parts.append(rows.select("pool", "seq", "ts_us", F.lit(n).alias("n"), gram.alias("ngram")).where(F.size("ngram") == n))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionAll(p)
+    last = F.collect_list("memory_id").over(_order().rowsBetween(-(longest - 1), 0))
+    rows = accesses.select("pool", "seq", "ts_us", last.alias("last")).where(F.size("last") >= 2)
+    ends = F.transform(F.sequence(F.lit(2), F.size("last")), lambda n: F.struct(n.alias("n"), F.slice("last", F.size("last") - n + 1, n).alias("ngram")))
+    every = rows.select("pool", "seq", "ts_us", F.explode(ends).alias("x")).select("pool", "seq", "ts_us", "x.n", "x.ngram")
     counted = every.groupBy("pool", "n", "ngram").agg(F.count("*").alias("count"), F.max("ts_us").alias("last_seen"), F.min("seq").alias("first_seq"))
     total = F.sum("count").over(Window.partitionBy("pool", "n"))
     return counted.withColumn("confidence", F.col("count") / total)
@@ -81,16 +77,17 @@ def repeats(accesses: DataFrame, longest: int = 5) -> DataFrame:
     """
     rows = accesses.select("pool", "seq", "memory_id", "ts_us", "access_type")
     place = rows.withColumn("p", F.row_number().over(_order()) - 1).withColumn("last", F.count("*").over(Window.partitionBy("pool")) - 1)
-    parts = []
-    for n in range(3, min(8, longest) + 1):
-        ahead = _order().rowsBetween(0, 2 * n - 1)
-        wide = place.select("pool", "p", "last", F.collect_list("memory_id").over(ahead).alias("ids"), F.collect_list(F.coalesce("access_type", F.lit(""))).over(ahead).alias("types"), F.collect_list("ts_us").over(ahead).alias("times"))
-        hit = wide.where((F.size("ids") == 2 * n) & (F.slice("ids", 1, n) == F.slice("ids", n + 1, n)))
+    most = min(8, longest)
+    ahead = _order().rowsBetween(0, 2 * most - 1)
+    wide = place.select("pool", "p", "last", F.collect_list("memory_id").over(ahead).alias("ids"), F.collect_list(F.coalesce("access_type", F.lit(""))).over(ahead).alias("types"), F.collect_list("ts_us").over(ahead).alias("times"))
+
+    def copy(n: int) -> Column:
+        """A repeat of n accesses that begins here, or null."""
         share = F.greatest(F.least(F.col("p") + LOOK_BACK - 1, F.col("last")) - (F.col("p") + 2 * n - 1) + 1, F.lit(0))
-        parts.append(hit.select("pool", "p", F.slice("ids", 1, n).alias("sequence"), F.slice("types", 1, n).alias("access_types"), F.slice("times", 1, n).alias("times"), share.alias("share"), F.lit(n).alias("length")).where("share > 0"))
-    every = parts[0]
-    for x in parts[1:]:
-        every = every.unionAll(x)
+        twice = (F.size("ids") >= 2 * n) & (F.slice("ids", 1, n) == F.slice("ids", n + 1, n))
+        return F.when(twice, F.struct(F.slice("ids", 1, n).alias("sequence"), F.slice("types", 1, n).alias("access_types"), F.slice("times", 1, n).alias("times"), share.alias("share"), F.lit(n).alias("length")))
+
+    every = wide.select("pool", "p", F.explode(F.array(*[copy(n) for n in range(3, most + 1)])).alias("x")).where("x.share > 0").select("pool", "p", "x.*")
     agg = every.groupBy("pool", "sequence", "access_types", "length").agg(F.sum("share").alias("occurrences"), F.min_by("times", "p").alias("times"))
     gaps = F.transform(F.sequence(F.lit(2), F.col("length")), lambda i: F.greatest(F.element_at("times", i) - F.element_at("times", i - 1), F.lit(0)))
     agg = agg.withColumn("gaps", gaps)

@@ -48,6 +48,16 @@ def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{snapshot_metadata(spark, root).first()['version']}")
 
 
+def prune_snapshots(spark: SparkSession, root: str, keep: int = 5) -> list[str]:
+    """Delete the snapshots behind the newest ``keep`` (1 at least); returns their names. Pointers stay, they are a line each."""
+    names = spark.read.schema(POINTER).json(f"{root}/_pointers").where("version is not null").orderBy(F.desc("written")).select("version").collect()
+    gone = [r["version"] for r in names[max(1, keep) :]]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
+
 #: Categories of patterns; fixed values. Any other one is the default.
 CATEGORIES, DEFAULT_CATEGORY = ("Temporal", "Spatial", "Transformational", "Relational"), "Transformational"
 

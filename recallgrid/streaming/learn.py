@@ -12,6 +12,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STEP = "pool long, seq long, from_id long, to_id long, interval_us long"
@@ -45,6 +46,10 @@ def sessions(accesses: DataFrame, gap: str = "30 minutes", late: str = "1 hour")
     return accesses.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("s"), "pool").agg(F.count("*").alias("n")).select("pool", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-def run_to(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Everything that is available now, as Parquet."""
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+def run_to(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", every: str | None = None) -> StreamingQuery | None:
+    """Everything that is available now, as Parquet; or with an interval such as "1 second" a running query that writes that often."""
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode)
+    if every:
+        return writer.trigger(processingTime=every).start()
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return None

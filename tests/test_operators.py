@@ -17,6 +17,7 @@ from recallgrid.operators import graph, lifecycle, metrics, retrieval, sequences
 from recallgrid.plans import router
 from recallgrid.shared import running_total
 from recallgrid.sources import store
+from recallgrid.streaming import learn
 
 
 def one(spark, column):
@@ -389,3 +390,24 @@ def test_checksum_and_pointer(spark, tmp_path):
     store.write_snapshot(spark.range(5).toDF("memory_id"), root, "b")
     (tmp_path / "s" / "_pointers" / "part-torn.json").write_text('{"version": "c", "entr')
     assert store.snapshot_metadata(spark, root).first()["version"] == "b" and store.read_snapshot(spark, root).count() == 5
+    assert store.prune_snapshots(spark, root, 1) == ["a"] and store.read_snapshot(spark, root).count() == 5
+    assert not (tmp_path / "s" / "a").exists()
+
+
+def test_stream_with_an_interval(spark, tmp_path):
+    """A running query writes what arrives while it runs."""
+    import time
+
+    source = f"file://{tmp_path}/in"
+    spark.createDataFrame([(1, 1, 5, 10)], "pool long, seq long, memory_id long, us long").write.parquet(source)
+    a = spark.readStream.schema("pool long, seq long, memory_id long, us long").parquet(source).select("pool", "seq", "memory_id", F.timestamp_micros("us").alias("ts"))
+    run = learn.run_to(learn.steps(a), f"file://{tmp_path}/out", f"file://{tmp_path}/state", every="1 second")
+    spark.createDataFrame([(1, 2, 6, 25)], "pool long, seq long, memory_id long, us long").write.mode("append").parquet(source)
+    until = time.time() + 60
+    while time.time() < until:
+        run.processAllAvailable()
+        got = [tuple(r) for r in spark.read.schema(learn.STEP).parquet(f"file://{tmp_path}/out").collect()]
+        if got:
+            break
+    run.stop()
+    assert got == [(1, 2, 5, 6, 15)]
