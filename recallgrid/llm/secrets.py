@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, discard, strings
 
-#: Labelled strings that each automaton is fitted on, and the longest of them; longer strings are scored, not learned from.
-MAX_TRAIN, MAX_LENGTH = 600, 512
+#: Labelled strings of the corpus that each automaton is fitted on at most, the longest of them (longer strings are scored,
+#: not learned from), and strings made of each format.
+MAX_TRAIN, MAX_LENGTH, MADE = 600, 512, 300
 ALPHA = 0.05
 #: Bits a character by which a format must beat the background.
 MARGIN = 1.5
@@ -257,7 +258,7 @@ def labelled(docs: DataFrame, text: str = "text", most: int = MAX_TRAIN) -> Data
 
 
 def fit(docs: DataFrame, text: str = "text", most: int = MAX_TRAIN) -> dict:
-    """An automaton for each kind and made format, from at most ``most`` labelled strings of each, taken by hash, and the background.
+    """An automaton for each kind, from at most ``most`` labelled strings taken by hash, and for each made format, and the background.
 
     The texts are read once; what their tasks keep is written, and its least strings and sums are taken from there.
     """
@@ -268,7 +269,7 @@ def fit(docs: DataFrame, text: str = "text", most: int = MAX_TRAIN) -> dict:
         counts[r["h"]] = r["n"]
     discard(rows)
     learned = [Automaton(samples[k]) for k in KINDS[:3] if len(samples[k]) >= 10]
-    return {"automata": learned + _format_automata(most), "background": Background(counts.reshape(len(ALPHABET) + 1, -1))}
+    return {"automata": learned + _format_automata(MADE), "background": Background(counts.reshape(len(ALPHABET) + 1, -1))}
 
 
 def _least(rows: DataFrame, kinds: list[str], most: int) -> dict[str, list[str]]:
