@@ -7,9 +7,9 @@ passages of as many blocks as any stretch of its length and a half needs to lie
 Candidates are verified on words: the longest common subsequence of the item and a stretch must hold ``EXACT`` of the
 item's words, or ``PARAPHRASE`` of them while the text around the passage holds the item's answer, its last sentence.
 
-No passage that verification would convict is lost by the retrieval: where a passage has m of an item's words, their
-product is at least the sum of the m least squared IDFs of the item, which is the threshold, less a bound of what the
-projection drops. A benchmark is searched in parts of ``RANK`` items, so that little is dropped; as nothing that convicts
+No passage that verification would convict is lost by the retrieval: a block has a weight for each of its words, however
+often it holds it, so where a passage has m of an item's words, their product is at least the sum of the m least squared
+IDFs of the item, which is the threshold, less a bound of what the projection drops. A benchmark is searched in parts of ``RANK`` items, so that little is dropped; as nothing that convicts
 is lost, the result is the same whatever the parts. Null, empty and blank texts match nothing; an empty table of
 documents or items gives an empty result. Texts of any length are read whole. One row per document row and item, so
 repeated rows have one each; of several passages with an item the first that convicts is told. Columns other than
@@ -44,6 +44,16 @@ def words_of(text: bytes) -> np.ndarray:
     return word_hashes(text.lower().translate(_keep))[0]
 
 
+def words_of_all(texts: list[bytes], together: int = 1 << 15) -> list[np.ndarray]:
+    """words_of each text; texts are hashed together until they have that many bytes, so that short ones cost no calls each."""
+    out = []
+    for i, j in groups_of([len(t) for t in texts], together):
+        h, start = word_hashes(b" ".join(texts[i:j]).lower().translate(_keep))
+        to = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts[i:j]])).tolist()
+        out += [h[a:b] for a, b in zip([0, *to], to)]
+    return out
+
+
 def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
@@ -54,11 +64,12 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(1 << BITS, np.int64), 0
         for batch in batches:
-            for t in utf8(batch, "text"):
-                n += 1
-                if t:
-                    b = _bucket(words_of(t))
-                    df[np.unique(b) if len(b) < 4096 else np.flatnonzero(np.bincount(b, minlength=1 << BITS))] += 1
+            texts = utf8(batch, "text")
+            n += len(texts)
+            for i, j in groups_of([len(t) for t in texts], 1 << 18):
+                many = words_of_all(texts[i:j])
+                doc = np.repeat(np.arange(len(many)), [len(h) for h in many])
+                df += np.bincount(np.unique(doc << BITS | _bucket(np.concatenate(many))) & ((1 << BITS) - 1), minlength=1 << BITS)
         at = np.flatnonzero(df)
         yield pa.record_batch({"bucket": pa.array(np.append(at, -1), pa.int32()), "n": pa.array(np.append(df[at], n), pa.int64())})
 
@@ -164,28 +175,27 @@ class Matcher:
         weights = [idf[_bucket(h)] for h in own]
         norms = [np.linalg.norm(np.bincount(place[_bucket(h)], x)) for h, x in zip(own, weights)]
         self.least = np.array([np.sort(x**2)[:m].sum() / n for x, m, n in zip(weights, self.need, norms)])
-        self.v = v.astype(np.float32)
+        # a word's weight and row of the singular vectors in one; the last row is for words of no item
+        at = np.flatnonzero(place >= 0)
+        self.weight = np.append(idf[at[np.argsort(place[at])]], 0.0)
+        self.v = (np.append(v, np.zeros((1, v.shape[1])), axis=0) * self.weight[:, None]).astype(np.float32)
 
     def candidates(self, many: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For documents' words: (document, first word of the passage, item) of each candidate, by passage."""
         lens = np.array([len(h) for h in many])
         blocks = -(-lens // BLOCK)
-        b = _bucket(np.concatenate(many))
         doc = np.repeat(np.arange(len(many)), blocks)
         base = np.concatenate([[0], np.cumsum(blocks)])
         begin = BLOCK * (np.arange(len(doc)) - base[doc])
-        start = np.concatenate([[0], np.cumsum(lens)[:-1]])[doc] + begin
-        at = self.place[b]
-        known = at >= 0
-        # words of no item have no part in the projection: sums over the others alone
-        count = np.concatenate([[0], np.cumsum(known)])
-        own, lo, w = at[known], count[start], self.idf[b[known]]
-        full = np.append(lo[1:], len(own)) > lo
-        z = np.zeros((len(doc), self.v.shape[1]), np.float32)
-        weight = np.zeros(len(doc))
-        if full.any():
-            z[full] = np.add.reduceat(self.v[own] * w[:, None].astype(np.float32), lo[full], axis=0)
-            weight[full] = np.add.reduceat(w, lo[full])
+        inside = begin[:, None] + np.arange(BLOCK) < lens[doc][:, None]
+        own = np.full((len(doc), BLOCK), -1)
+        own[inside] = self.place[_bucket(np.concatenate(many))]
+        # a block has each of its words once, and words of no item have no part in the projection
+        own.sort(axis=1)
+        own[:, 1:][own[:, 1:] == own[:, :-1]] = -1
+        z, weight = np.zeros((len(doc), self.v.shape[1]), np.float32), self.weight[own].sum(1)
+        for column in own.T:
+            z += self.v[column]
         sims = np.zeros((len(doc) + 1, len(self.ids)))
         np.cumsum(z @ self.latent.T, axis=0, dtype=np.float64, out=sims[1:])
         weight = np.concatenate([[0], np.cumsum(weight)])
@@ -274,7 +284,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "item_id") -> DataFr
                 texts = utf8(batch, "text")
                 rows: dict = {}
                 for i, j in groups_of([len(t) for t in texts], 1 << 18):
-                    many = [(k, h) for k in range(i, j) if len(h := words_of(texts[k]))]
+                    many = [(k, h) for k, h in enumerate(words_of_all(texts[i:j]), i) if len(h)]
                     if not many:
                         continue
                     for d, begin, it in zip(*m.candidates([h for _, h in many])):

@@ -535,6 +535,15 @@ def test_decontamination_of_paraphrases_with_answers(spark):
     assert sum((got & want).values()) >= 0.9 * sum(want.values()) and not got - want, (len(got), got - want, want - got)
 
 
+def test_decontamination_hashes_short_texts_together():
+    rng = random.Random(14)
+    texts = [x.encode() for x in ("", " ", "One, two", "é-x\ttwo", text(rng, 9000, 50), "", text(rng, 3, 50) + "\n", text(rng, 400_000, 3000), "two")] * 2
+    for together in (1, 60, 1 << 15, 1 << 30):
+        got = decontaminate.words_of_all(texts, together)
+        assert [h.tolist() for h in got] == [decontaminate.words_of(t).tolist() for t in texts]
+    assert decontaminate.words_of_all([]) == []
+
+
 def test_decontamination_of_many_items(spark):
     """More segments than the SVD's rank: verbatim copies of all items are found."""
     rng = random.Random(10)
