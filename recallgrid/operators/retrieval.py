@@ -56,6 +56,17 @@ def _blocks(queries: DataFrame, query_key: str, vector: str) -> Iterator[tuple[l
         yield block(rows)
 
 
+def _matrix(column: pa.ListArray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """A batch's vectors, cut or filled with 0 to a width, and the norms of the whole ones; null as empty."""
+    lens = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    row = np.repeat(np.arange(len(lens)), lens)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
+    out, own = np.zeros((len(lens), wide)), place < wide
+    out[row[own], place[own]] = flat[own]
+    return out, np.sqrt(np.bincount(row, flat * flat, minlength=len(lens)))
+
+
 def similarity_batch(store: DataFrame, queries: DataFrame, k: int = 10, least: float | None = None, key: str = "memory_id", query_key: str = "query_id", vector: str = "embedding") -> DataFrame:
     """The k nearest rows for each query: blocks of vectors times blocks of queries; each batch hands on its own k best only.
 
@@ -72,19 +83,14 @@ def similarity_batch(store: DataFrame, queries: DataFrame, k: int = 10, least: f
                 for at in range(0, batch.num_rows, 4096):
                     part = batch.slice(at, 4096)
                     keys = part.column(0).to_numpy(zero_copy_only=False)
-                    rows = part.column(1).to_pylist()
-                    wide = q.shape[1]
-                    v = np.zeros((len(rows), wide))
-                    n = np.zeros(len(rows))
-                    for i, x in enumerate(rows):
-                        x = np.asarray(x or [], float)
-                        n[i] = np.linalg.norm(x)
-                        v[i, : min(len(x), wide)] = x[:wide]
+                    v, n = _matrix(part.column(1), q.shape[1])
                     size = np.outer(qn, n)
                     sims = np.round(np.where(size > 1e-12, (q @ v.T) / np.maximum(size, 1e-300), 0.0), 6) + 0.0
                     a, b, c = [], [], []
                     for i in np.flatnonzero(qn > 0):
-                        order = np.lexsort((keys, -sims[i]))[:k]
+                        # all rows that tie with the k-th are sorted, so that keys decide
+                        near = np.arange(len(keys)) if len(keys) <= k else np.flatnonzero(~(sims[i] < -np.partition(-sims[i], k - 1)[k - 1]))
+                        order = near[np.lexsort((keys[near], -sims[i][near]))[:k]]
                         if least is not None:
                             order = order[sims[i][order] >= least]
                         a += [ids[i]] * len(order)

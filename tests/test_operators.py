@@ -52,6 +52,11 @@ def test_similarity(spark):
     q = s.select(F.col("memory_id").alias("query_id"), "embedding")
     got = retrieval.similarity_batch(s, q, 2).collect()
     assert {r["query_id"] for r in got} == {1, 2} and len(got) == 4
+    s = spark.createDataFrame([(i, [1.0, 0.0] if i % 2 else [1.0, 1.0, 5.0]) for i in range(40)] + [(90, None), (91, [])], "memory_id long, embedding array<float>")
+    got = retrieval.similarity_batch(s.coalesce(1), q, 3).where("query_id = 1").orderBy("rank").collect()
+    assert [(r["memory_id"], r["similarity"]) for r in got] == [(1, 1.0), (3, 1.0), (5, 1.0)]
+    got = retrieval.similarity_batch(s.coalesce(1), q, 42).where("query_id = 2").orderBy("rank").collect()
+    assert [r["memory_id"] for r in got] == [*range(0, 40, 2), *range(1, 40, 2), 90, 91] and got[0]["similarity"] == round(1 / 27**0.5, 6)
 
 
 def test_text(spark):
