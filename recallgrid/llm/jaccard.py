@@ -6,8 +6,11 @@ regions comes from a lossless split of the shingle universe, and pivots work whe
 
 1. Equal sets become one. Sizes are split into classes such that linked sets lie in one class or in neighbours. For a
    class whose smaller linked set has at most r shingles, linked sets differ in at most r / 9 shingles (at 0.9), so of
-   that many parts of the hashed universe and some spare ones, as many are equal in both as are spare. The spare ones
-   are more than the parts that are empty by chance, so empty parts count only where a set has that many of them. Sets with an equal part are compared by their counts in ``BUCKETS`` hash buckets: the sum of
+   that many parts of the hashed universe and some spare ones, at least as many are equal in both as are spare: all but
+   a ninth of the smaller set's own size. That is more than the parts that are empty by chance, so empty parts count
+   only where a set has that many of them, and then all but so many. Sets of the class before meet each other in their
+   own class, so a part counts only where a set of its class has it.
+   Sets with an equal part are compared by their counts in ``BUCKETS`` hash buckets: the sum of
    the smaller counts is at least the intersection, so the distance that it gives is at most the true one, and a pair
    that it keeps apart can't link. What it connects lies in one region; regions are connected components.
 2. Within a region, pivots: a pivot's distances to all members are computed exactly; members within the threshold
@@ -72,34 +75,45 @@ class Rule:
     def size_class(self, n: int) -> int:
         return int(np.searchsorted(self.lows, n, "right")) - 1
 
+    def differ(self, n: int) -> int:
+        """Most shingles that only one of two linked sets has, if the smaller one has n."""
+        return (self.den - self.num) * n // self.num
+
     def parts(self, c: int) -> tuple[int, int]:
         """Parts for pairs whose larger set is in class c, so whose smaller one is at most the class's high, and how many of them are spare.
 
-        The smaller set may lie in the class before; the spare parts are 1.5 times the empty ones to be expected of a
-        set at the class's low, and two.
+        The spare parts are 1.5 times the empty ones to be expected of a set at the class's high, and two; a smaller set
+        has more of both.
         """
-        differ = (self.den - self.num) * (self.lows[c + 1] - 1) // self.num
+        high = self.lows[c + 1] - 1
+        differ = self.differ(high)
         spare = SPARE
         for _ in range(12):
-            spare = SPARE + int(1.5 * (differ + spare) * math.exp(-self.lows[c] / (differ + spare)))
+            spare = SPARE + int(1.5 * (differ + spare) * math.exp(-high / (differ + spare)))
             spare = min(spare, SPARE + differ // 2)
         return differ + spare, spare
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
-        """Part hashes of a sorted set for its own class and the next."""
+        """Part hashes of a sorted set for its own class and the next; the last bit is that of the class's number.
+
+        Two linked sets have at least m less ``differ`` of the smaller one parts in common. Where all of these may be
+        empty, both leave out one less than their own such bound, from the last empty part on, so one of them stays in both.
+        """
         c, out = self.size_class(len(s)), []
         for k in (c, c + 1):
-            m, spare = self.parts(k)
+            m, _ = self.parts(k)
+            equal = m - self.differ(len(s))
             part = (mix(s + np.uint64(0x51ED27)) % np.uint64(m)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             place = part[order]
             first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
             own = mix(np.add.reduceat(mix(s[order]), first))
             which = place[first]
-            if m - len(first) >= spare:  # so many empty parts that the equal ones may all be empty
-                empty = np.setdiff1d(np.arange(m), which)
+            if m - len(first) >= equal:  # so many empty parts that the equal ones may all be empty
+                empty = np.setdiff1d(np.arange(m), which)[: m - len(first) - equal + 1]
                 which, own = np.concatenate([which, empty]), np.concatenate([own, np.zeros(len(empty), np.uint64)])
-            out.append(mix(own + mix(which.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(k))))
+            x = mix(own + mix(which.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(k)))
+            out.append(x & ~np.uint64(1) | np.uint64(k & 1))
         return np.concatenate(out)
 
 
@@ -154,7 +168,7 @@ def describe(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _signed(docs: DataFrame, rule: Rule) -> DataFrame:
-    """digest, n, signatures and bucket counts of every set that isn't empty; a task hands on most repeated ones once."""
+    """digest, n, the last bit of its class, signatures and bucket counts of every set that isn't empty; a task hands on most repeated ones once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -172,11 +186,12 @@ def _signed(docs: DataFrame, rule: Rule) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])])
                 yield pa.record_batch({
                     "digest": pa.array(list(sets), pa.binary()), "n": pa.array([len(s) for s in sets.values()], pa.int64()),
+                    "odd": pa.array([rule.size_class(len(s)) & 1 for s in sets.values()], pa.int64()),
                     "sigs": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*sigs, np.zeros(0, np.int64)]), pa.int64())),
                     "counts": pa.array([bucket_counts(s) for s in sets.values()], pa.binary()),
                 })
 
-    return docs.select("text").mapInArrow(run, "digest binary, n long, sigs array<long>, counts binary")
+    return docs.select("text").mapInArrow(run, "digest binary, n long, odd long, sigs array<long>, counts binary")
 
 
 def _close(rule: Rule) -> Callable:
@@ -420,10 +435,12 @@ def set_components(docs: DataFrame, num: int = 90, den: int = 100, words: int =
     reps = base.where("digest is not null").groupBy("digest").agg(F.min(row).alias("r")).select("digest", "r.doc_id", "r.text_hash")
     reps = cut(reps.withColumn("set_id", F.monotonically_increasing_id()), "sets")
     own = _signed(docs, rule).join(reps.select("digest", "set_id"), "digest").dropDuplicates(["digest"])
-    own = cut(own.select("set_id", "n", "sigs", "counts"), "signatures")
-    # signatures that several sets have; those with the same sets need one look only
-    rows = own.select("set_id", F.explode("sigs").alias("sig"))
-    shared = rows.groupBy("sig").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("set_id")).alias("h")).where("c > 1")
+    own = cut(own.select("set_id", "n", "odd", "sigs", "counts"), "signatures")
+    # signatures that several sets have, one of them in its own class; those with the same sets need one look only
+    rows = own.select("set_id", "odd", F.explode("sigs").alias("sig"))
+    mine = F.max(F.col("sig").bitwiseAND(1) == F.col("odd")).alias("mine")
+    shared = rows.groupBy("sig").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("set_id")).alias("h"), mine).where("c > 1 and mine")
+    rows = rows.drop("odd")
     groups = cut(shared.groupBy("c", "h").agg(F.min("sig").alias("sig")).select("sig", "c"), "groups")
     few = groups.count() <= SENT_GROUPS
     pairs = cut(rows.join(F.broadcast(groups) if few else groups, "sig"), "pairs")

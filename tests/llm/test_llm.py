@@ -177,6 +177,33 @@ def test_jaccard_bridges_without_ids_and_hot_signatures(spark, monkeypatch):
     assert sorted((r[0] is None, r[0] or 0) for r in kept) == sorted(least.values()) and all(n == 1 for n in kept.values())
 
 
+@pytest.mark.parametrize("num,den", [(90, 100), (80, 100)])
+def test_signatures(num, den):
+    """Linked sets share a signature that is of the own class of one of them; unrelated ones share hardly any, however many parts are empty."""
+    rng = np.random.default_rng(3)
+    rule = jaccard.Rule(num, den, 5)
+
+    def own(s):
+        x = rule.signatures(s)
+        return set(x.tolist()), set(x[(x & np.uint64(1)) == rule.size_class(len(s)) % 2].tolist())
+
+    seen = 0
+    for n in [*range(1, 80), *range(80, 700, 7)] * 3:
+        pool = rng.integers(0, 1 << 63, 3 * n, np.uint64)
+        gone = int(rng.integers(0, rule.differ(n) + 1))
+        a = np.unique(pool[:n])
+        for b in (np.unique(pool[gone:n]), np.unique(pool[gone // 2 : n + gone - gone // 2]), np.unique(pool[: n + rule.differ(n)])):
+            both = np.intersect1d(a, b).size
+            if rule.linked(both, len(a), len(b)):
+                seen += 1
+                (x, mine), (y, yours) = own(a), own(b)
+                assert x & y & (mine | yours)
+    assert seen > 1000
+    sets = [np.unique(rng.integers(0, 1 << 63, n, np.uint64)) for n in rng.integers(184, 289, 2000)]
+    shared = collections.Counter(x for s in sets for x in rule.signatures(s).tolist())
+    assert max(shared.values()) < 20
+
+
 def test_region_join_by_pivots():
     rng = np.random.default_rng(4)
     rule = jaccard.Rule(90, 100, 3)
